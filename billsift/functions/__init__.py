@@ -11,6 +11,8 @@ from billsift.functions.fields import (
     label_value,
     last_amount,
     percent_lines,
+    pick_amount,
+    pick_percent,
 )
 from billsift.functions.items import is_item, items, pipe_join, structured_items
 from billsift.functions.parties import (
@@ -61,6 +63,8 @@ __all__ = [
     "last_amount",
     "normalize_currency",
     "percent_lines",
+    "pick_amount",
+    "pick_percent",
     "pipe_join",
     "quality_score",
     "redact",

@@ -49,8 +49,8 @@ def joined(lines: Column) -> Column:
 
 def line_index(text: Column, position: Column) -> Column:
     """0-based number of the line that holds a 1-based position; null for 0."""
-    before = F.left(text, position - 1)
-    return F.when(position > 0, F.size(F.split(before, "\n")) - 1)
+    before = F.left(text, F.nullif(position, F.lit(0)) - 1)
+    return F.array_size(F.split(before, "\n")) - 1
 
 
 def first_index(folded: Column, words: tuple[str, ...]) -> Column:
@@ -81,36 +81,44 @@ def last_amount(line: Column, mode: str = "parity") -> Column:
     return F.replace(F.try_element_at(amounts, F.lit(-1)), F.lit(","), F.lit(""))
 
 
-def amount_lines(lines: Column) -> Column:
-    """Only the lines that can yield an amount: a pre-filter worth sharing."""
-    return F.filter(lines, lambda line: line.rlike(K.java_regex(r"\d\.\d{2}")))
+def amount_lines(lines: Column, mode: str = "parity") -> Column:
+    """Only the lines that hold an amount: worth sharing between keywords."""
+    pattern = K.java_regex(r"\d\.\d{2}") if mode == "parity" else AMOUNT_PATTERNS[mode]
+    return F.filter(lines, lambda line: F.contains(line, F.lit(".")) & line.rlike(pattern))
 
 
-def find_amount(lines: Column, keyword: str, mode: str = "parity") -> Column:
-    """Last amount of the first line that holds both the keyword and an amount."""
-    pattern = AMOUNT_PATTERNS[mode]
-    hits = F.filter(
-        lines,
-        lambda line: F.contains(F.lower(line), F.lit(keyword.lower())) & line.rlike(pattern),
-    )
-    return or_blank(last_amount(F.get(hits, F.lit(0)), mode))
+def percent_lines(lines: Column) -> Column:
+    """Only the lines that hold a percentage."""
+    pattern = K.java_regex(K.PERCENT)
+    return F.filter(lines, lambda line: F.contains(line, F.lit("%")) & line.rlike(pattern))
 
 
-def percent_lines(lines: Column) -> Column:
-    """Only the lines that can yield a percentage."""
-    return F.filter(lines, lambda line: F.contains(line, F.lit("%")))
+def first_with(lines: Column, keyword: str, folded: Column | None = None) -> Column:
+    """The first line that holds a keyword in any case, or null."""
+    lower = F.lower(joined(lines)) if folded is None else folded
+    return F.get(lines, first_index(lower, (keyword.lower(),)))
+
+
+def pick_amount(money: Column, keyword: str, mode: str = "parity",
+                folded: Column | None = None) -> Column:
+    """``find_amount`` over lines already cut to those with an amount."""
+    return or_blank(last_amount(first_with(money, keyword, folded), mode))
+
+
+def pick_percent(percent: Column, keyword: str, folded: Column | None = None) -> Column:
+    """``find_percent`` over lines already cut to those with a percentage."""
+    line = first_with(percent, keyword, folded)
+    return or_blank(F.regexp_extract(line, K.java_regex(K.PERCENT), 1))
+
+
+def find_amount(lines: Column, keyword: str, mode: str = "parity") -> Column:
+    """Last amount of the first line that holds both the keyword and an amount."""
+    return pick_amount(amount_lines(lines, mode), keyword, mode)
 
 
 def find_percent(lines: Column, keyword: str) -> Column:
     """First whole number before ``%`` in the first line with the keyword and one."""
-    pattern = K.java_regex(K.PERCENT)
-    hits = F.filter(
-        lines,
-        lambda line: F.contains(line, F.lit("%"))
-        & F.contains(F.lower(line), F.lit(keyword.lower()))
-        & line.rlike(pattern),
-    )
-    return or_blank(F.regexp_extract(F.get(hits, F.lit(0)), pattern, 1))
+    return pick_percent(percent_lines(lines), keyword)
 
 
 def first_line(lines: Column, *patterns: str) -> Column:

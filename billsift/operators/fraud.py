@@ -79,13 +79,15 @@ def vendor_baseline(df: DataFrame, vendor: str, day: str, key: str, amount: str,
     full = rows.withColumns(_running(totals, [vendor, day, "_block"], [key])).join(
         starts, [vendor, day, "_block"]
     )
-    prior = {c: (F.col(f"{c}_before") + F.col(f"_start{c}")) for c in totals}
+    prior = {c: (F.col(f"{c}_before") + F.col(f"_start{c}")).cast(WIDE) for c in totals}
     n, s, q = (prior[c].cast("double") for c in totals)
+    # The mean is divided as a decimal: half cents round the same everywhere.
+    mean = F.round((prior["_s"].cast("decimal(28,4)") / prior["_n"].cast("decimal(9,0)")), 2)
     variance = F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)
     stats = full.select(
         vendor, day, key, amount,
-        prior["_n"].cast("bigint").alias("n_prior"),
-        F.when(n > 0, F.round(s / n, 2)).alias("mean_prior"),
+        n.cast("bigint").alias("n_prior"),
+        F.when(n > 0, mean.cast("double")).alias("mean_prior"),
         F.when(n > 1, F.round(F.sqrt(variance), 2)).alias("stddev_prior"),
     )
     gap = F.abs(F.col(amount).cast("double") - F.col("mean_prior"))

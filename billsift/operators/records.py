@@ -92,11 +92,16 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
         "_percent": B.percent_lines(lines),
         "_anchor": B.anchor_position(lines, p.buyer_anchors, F.col("_lower")),
     }).withColumns({
+        "_money_lower": F.lower(B.joined(F.col("_money"))),
         "_items": B.items(F.col("_money")),
-        "_cgst": B.find_percent(F.col("_percent"), "CGST"),
-        "_sgst": B.find_percent(F.col("_percent"), "SGST"),
+        "_cgst": B.pick_percent(F.col("_percent"), "CGST"),
+        "_sgst": B.pick_percent(F.col("_percent"), "SGST"),
     })
-    money, items, anchor = F.col("_money"), F.col("_items"), F.col("_anchor")
+
+    def amount(keyword: str) -> Column:
+        return B.pick_amount(F.col("_money"), keyword, folded=F.col("_money_lower"))
+
+    items, anchor = F.col("_items"), F.col("_anchor")
     cgst, sgst = F.col("_cgst"), F.col("_sgst")
     failed = B.anchor_is_last(lines, anchor)
 
@@ -127,12 +132,12 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
         "rates": B.pipe_join(items, "rate"),
         "item_amounts": B.pipe_join(items, "amount"),
         "cgst_rate": cgst,
-        "cgst_amount": B.find_amount(money, "CGST"),
+        "cgst_amount": amount("CGST"),
         "sgst_rate": blank_fallback(sgst, cgst) if p.sgst_from_cgst else sgst,
-        "sgst_amount": B.find_amount(money, "SGST"),
-        "total_tax": B.find_amount(money, p.total_tax),
-        "subtotal": B.find_amount(money, p.subtotal),
-        "grand_total": B.find_amount(money, "Grand Total"),
+        "sgst_amount": amount("SGST"),
+        "total_tax": amount(p.total_tax),
+        "subtotal": amount(p.subtotal),
+        "grand_total": amount("Grand Total"),
         "amount_in_words": B.label_value(raw, "Amount in Words"),
         "bank_name": B.label_value(raw, p.bank_name),
         "account_name": B.label_value(raw, "Account Name"),
@@ -199,19 +204,21 @@ def typed_record(df: DataFrame, keys: tuple[str, ...], text: str = "raw_text",
     split = with_lines(df.select(*keys, path, text), text)
     lines, raw = F.col("lines"), F.col(text)
     shared = split.withColumns({
-        "_money": B.amount_lines(lines),
+        "_money": B.amount_lines(lines, "strict"),
         "_percent": B.percent_lines(lines),
     }).withColumns({
+        "_money_lower": F.lower(B.joined(F.col("_money"))),
         "items": F.transform(
-            B.items(F.col("_money"), "strict"),
+            B.items(lines, "strict"),
             lambda x: x.withField("amount", B.to_money(x["amount"])),
         ),
-        "_cgst": B.find_percent(F.col("_percent"), "CGST"),
-        "_sgst": B.find_percent(F.col("_percent"), "SGST"),
+        "_cgst": B.pick_percent(F.col("_percent"), "CGST"),
+        "_sgst": B.pick_percent(F.col("_percent"), "SGST"),
     })
 
     def amount(keyword: str) -> Column:
-        return B.to_money(B.find_amount(F.col("_money"), keyword, "strict"))
+        picked = B.pick_amount(F.col("_money"), keyword, "strict", F.col("_money_lower"))
+        return B.to_money(picked)
 
     return shared.select(
         *keys,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from billsift import constants as K
 from billsift.functions.secure import encrypt
-from billsift.functions.text import or_blank, run_stamp
+from billsift.functions.text import run_stamp
 from billsift.schemas import STORE_DEFAULTS, STORE_EXPORT
 
 # Record column -> stored column.

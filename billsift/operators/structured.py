@@ -86,9 +86,9 @@ def structured_build(df: DataFrame, keys: tuple[str, ...], lines: str = "lines")
             F.col("_igst").alias("igst"),
         ).alias("taxes"),
         F.struct(
-            B.find_amount(money, "Taxable Value").alias("taxable_value"),
-            B.find_amount(money, "Total Tax").alias("total_tax"),
-            B.find_amount(money, "Grand Total").alias("grand_total"),
+            B.pick_amount(money, "Taxable Value").alias("taxable_value"),
+            B.pick_amount(money, "Total Tax").alias("total_tax"),
+            B.pick_amount(money, "Grand Total").alias("grand_total"),
             F.col("_words").alias("amount_in_words"),
         ).alias("totals"),
         F.struct(

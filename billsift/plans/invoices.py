@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.operators.documents import page_gate, prepare
+from billsift.operators.documents import MAX_PAGES, page_gate, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,14 +65,16 @@ def vendor_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items per order, with the lowest supplier key as the vendor."""
-    lines = table(spark, sf_dir, "lineitem").select(
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("bigint").alias("qty"),
         cents(F.col("l_extendedprice")).alias("cents"),
     )
-    kept, _ = page_gate(lines, "l_orderkey")
+
+
+def order_items(kept: DataFrame) -> DataFrame:
+    """Items per order, with the lowest supplier key as the vendor."""
     item = F.struct("l_linenumber", "l_partkey", "qty", "cents")
     return kept.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("suppkey"),
@@ -86,20 +88,32 @@ def _choose(k: Column, n: int, options: dict[int, Column], default: Column) -> C
     return F.coalesce(*cases, default)
 
 
-def invoice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, path, raw_text, fallback_text``: the rendered documents."""
+def rejected_orders(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -> DataFrame:
+    """Orders too long to be one document: ``(l_orderkey, n_pages)``."""
+    return page_gate(order_lines(spark, sf_dir), "l_orderkey", max_lines)[1]
+
+
+def invoice_text(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -> DataFrame:
+    """``doc_id, path, raw_text, fallback_text``: the rendered documents.
+
+    An order with more than ``max_lines`` items is left to ``rejected_orders``,
+    so the items brought together for one text are bounded.
+    """
     # The join on the order key needs this partitioning anyhow once the items
     # outgrow a broadcast; named here, the text work never runs in one task.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate"
-    ).repartition(tasks, "o_orderkey")
+    kept, rejected = page_gate(order_lines(spark, sf_dir), "l_orderkey", max_lines)
+    orders = (
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        .join(rejected.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+        .repartition(tasks, "o_orderkey")
+    )
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     bought = (
-        orders.join(order_items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        orders.join(order_items(kept), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(supplier, F.col("suppkey") == F.col("s_suppkey"), "left")
     )
