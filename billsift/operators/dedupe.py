@@ -37,22 +37,25 @@ def find_duplicates(df: DataFrame, hash_col: str, row_id: str,
     the hash in the shuffle key and spread evenly; every other hash has at most
     ``hot_copies`` rows in its join task.
     """
-    copies = df.groupBy(F.col(hash_col).alias("_hash")).agg(F.count("*").alias("_n")).where(
-        (F.col("_n") > 1) & F.col("_hash").isNotNull()
-    )
+    # Keys that cannot be null need no null filter, which Catalyst would push
+    # below the hash and so hash every document twice. Rows without a hash have
+    # a key of their own and match nothing.
+    copies = df.groupBy(F.coalesce(F.col(hash_col), F.lit("")).alias("_hash")).agg(
+        F.count("*").alias("_n")
+    ).where(F.col("_n") > 1)
     hot = copies.where(F.col("_n") > hot_copies).select(
-        F.col("_hash").alias(hash_col), F.col("_n").alias("_hot")
+        F.col("_hash").alias("_key"), F.col("_n").alias("_hot")
     )
-    rest = copies.where(F.col("_n") <= hot_copies).withColumnRenamed("_hash", "_key")
-    marked = df.join(F.broadcast(hot), hash_col, "left").withColumn(
-        "_key",
-        F.when(F.col("_hot").isNull(), F.col(hash_col))
+    rest = copies.where(F.col("_n") <= hot_copies).withColumnRenamed("_hash", "_spot")
+    marked = df.withColumn("_key", _null_safe_key(hash_col, row_id)).join(
+        F.broadcast(hot), "_key", "left"
+    ).withColumn(
+        "_spot",
+        F.when(F.col("_hot").isNull(), F.col("_key"))
         .otherwise(F.concat(F.lit("hot:"), F.col(row_id).cast("string"))),
-    ).where(F.col(hash_col).isNotNull())
-    joined = marked.join(rest, "_key", "left")
-    return joined.withColumn("copies", F.coalesce("_hot", "_n")).where(
-        F.col("copies").isNotNull()
-    ).select(*df.columns, "copies")
+    )
+    joined = marked.join(rest, "_spot", "left").withColumn("copies", F.coalesce("_hot", "_n"))
+    return joined.where(F.col("copies").isNotNull()).select(*df.columns, "copies")
 
 
 def append_new(batch: DataFrame, store: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
@@ -64,5 +67,5 @@ def append_new(batch: DataFrame, store: DataFrame, hash_col: str, order: list[st
     first = first_by_hash(batch, hash_col, order).withColumn(
         "_key", _null_safe_key(hash_col, order[-1])
     )
-    seen = store.select(F.col(hash_col).alias("_key")).where(F.col("_key").isNotNull())
+    seen = store.select(F.coalesce(F.col(hash_col), F.lit("")).alias("_key"))
     return first.join(seen, "_key", "left_anti").drop("_key")

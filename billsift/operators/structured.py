@@ -30,8 +30,15 @@ def raw_lines(pages: Column) -> Column:
 
 
 def leftover_lines(lines: Column, used: Column) -> Column:
-    """Lines not used elsewhere, with their repeats (``array_except`` drops those)."""
-    return F.filter(lines, lambda x: ~F.array_contains(used, x))
+    """Lines not used elsewhere, with their repeats (``array_except`` drops those).
+
+    ``used`` is bound by an outer lambda: named inside the filter, its
+    expressions could be inlined there and run again for every line.
+    """
+    kept = F.transform(
+        F.array(used), lambda u: F.filter(lines, lambda x: ~F.array_contains(u, x))
+    )
+    return F.get(kept, F.lit(0))
 
 
 def structured_build(df: DataFrame, keys: tuple[str, ...], lines: str = "lines") -> DataFrame:

@@ -33,7 +33,7 @@ from billsift.plans.invoices import (
     vendor_master,
 )
 from billsift.schemas import STORE_DEFAULTS, record_columns
-from billsift.session import shared_dir
+from billsift.session import materialize, shared_dir
 from billsift.sources import files, sinks
 from billsift.streaming import ingest
 
@@ -276,7 +276,8 @@ def fraud_bank_account(spark, sf_dir):
 
 
 def vendor_baseline(spark, sf_dir):
-    seen = _typed(spark, sf_dir).where(F.col("vendor_gstin") != "")
+    wanted = _typed(spark, sf_dir).select("doc_id", "vendor_gstin", "invoice_date", "grand_total")
+    seen = materialize(wanted, "typed").where(F.col("vendor_gstin") != "")
     scored = fraud.vendor_baseline(
         seen, "vendor_gstin", "invoice_date", "doc_id", "grand_total", k=2.0
     )
