@@ -43,24 +43,23 @@ def label_value(text: Column, *labels: str) -> Column:
 
 
 def joined(lines: Column) -> Column:
-    """The lines as one text again, for searches that need no pass per line."""
-    return F.array_join(lines, "\n")
-
-
-def line_index(text: Column, position: Column) -> Column:
-    """0-based number of the line that holds a 1-based position; null for 0."""
-    before = F.left(text, F.nullif(position, F.lit(0)) - 1)
-    return F.array_size(F.split(before, "\n")) - 1
+    """The lines as one text again, each ended by a newline, for searches that
+    need no pass per line."""
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
 def first_index(folded: Column, words: tuple[str, ...]) -> Column:
-    """0-based number of the first line with one of the words, null when none.
+    """0-based number of the first line with one of the words.
 
     ``folded`` is the joined text in the words' own case; folding never adds
     or removes a line break, so the number also holds for the unfolded lines.
+    Without a match the whole text lies before it, and the number is one past
+    the last line.
     """
-    spots = [F.nullif(F.locate(w, folded), F.lit(0)) for w in words]
-    return line_index(folded, spots[0] if len(spots) == 1 else F.least(*spots))
+    spots = [
+        F.array_size(F.split(F.substring_index(folded, w, 1), "\n")) - 1 for w in words
+    ]
+    return spots[0] if len(spots) == 1 else F.least(*spots)
 
 
 def find_contains(lines: Column, keys: tuple[str, ...], folded: Column | None = None) -> Column:

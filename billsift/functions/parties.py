@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billsift import constants as K
-from billsift.functions.fields import first_index, joined, line_index
+from billsift.functions.fields import first_index, joined
 from billsift.functions.text import or_blank
 
 
@@ -30,7 +30,8 @@ def anchor_position(lines: Column, anchors: tuple[str, ...] = K.BUYER_ANCHORS,
                     folded: Column | None = None) -> Column:
     """1-based position of the first line with a buyer anchor, 0 when none."""
     lower = F.lower(joined(lines)) if folded is None else folded
-    return F.coalesce(first_index(lower, anchors) + 1, F.lit(0))
+    spot = first_index(lower, anchors) + 1
+    return F.when(spot <= F.size(lines), spot).otherwise(F.lit(0))
 
 
 def anchor_is_last(lines: Column, position: Column) -> Column:
@@ -57,6 +58,9 @@ def buyer_gstin(lines: Column, mode: str = "parity", text: Column | None = None)
     pattern = F.lit(K.java_regex(K.GSTIN))
     whole = joined(lines) if text is None else text
     if mode == "parity":
-        return or_blank(F.get(lines, line_index(whole, F.regexp_instr(whole, pattern))))
+        token = F.regexp_extract(whole, K.java_regex(K.GSTIN), 0)
+        before = F.call_function("substring_index", whole, token, F.lit(1))
+        line = F.get(lines, F.array_size(F.split(before, "\n")) - 1)
+        return or_blank(F.when(token != "", line))
     tokens = F.regexp_extract_all(whole, pattern, F.lit(0))
     return or_blank(F.get(F.array_distinct(tokens), F.lit(1)))

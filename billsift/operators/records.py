@@ -85,7 +85,10 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
     # Each step is used several times by the next, so Catalyst keeps them apart.
     split = source.withColumn("lines", B.text_lines(F.col("raw_text")))
     whole = split.withColumn("_whole", B.joined(F.col("lines")))
-    folded = whole.withColumns({"_upper": F.upper("_whole"), "_lower": F.lower("_whole")})
+    folded = whole.withColumns({
+        "_upper": F.upper("_whole"),
+        "_lower": F.lower("_whole"),
+    })
     lines, raw = F.col("lines"), F.col("raw_text")
     shared = folded.withColumns({
         "_money": B.amount_lines(lines),
