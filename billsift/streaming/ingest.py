@@ -18,11 +18,8 @@ TEXT_GLOB = "*.txt"
 
 def read_text_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """Text files as they land, one document each."""
-    files = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", TEXT_GLOB)
-        .option("maxFilesPerTrigger", max_files)
-        .text(path)
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).text(
+        path, wholetext=True, pathGlobFilter=TEXT_GLOB
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"),
