@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,4)"
-BLOCK = 1 << 20
+BLOCK_BITS = 20
 
 
 def fraud_bank_account(typed: DataFrame, vendor_master: DataFrame) -> DataFrame:
@@ -36,41 +36,49 @@ def _running(columns: list[str], keys: list[str], order: list[str]) -> dict[str,
 
 
 def vendor_baseline(df: DataFrame, vendor: str, day: str, key: str, amount: str,
-                    k: float = 3.0, block: int = BLOCK) -> DataFrame:
+                    k: float = 3.0, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Flag an amount far from the mean of that vendor's own earlier invoices.
 
     "Earlier" is by ``(day, key)``; ``key`` is a unique integer. One window
     per vendor would put a vendor with a third of all invoices in one task, so
     the running totals are built on three levels, each of bounded size: rows in
-    a ``(vendor, day, block of keys)`` (at most ``block`` rows), blocks in a
+    a ``(vendor, day, block of keys)`` (at most 2^``block_bits``), blocks in a
     ``(vendor, day)``, and days in a vendor. A row's total is the sum of the
     three. All sums are exact decimals, so the result does not depend on it.
+
+    Rows without a vendor, day or amount have no baseline and are left out.
+    ``df`` is read by three branches: hand over a stored table, not a long plan
+    (see ``session.materialize``).
     """
     totals = ["_n", "_s", "_q"]
-    value = F.col(amount).cast(WIDE)
+    value = F.col(amount).cast("decimal(18,4)")
     spread = df.select(
-        vendor, day, key, amount, F.floor(F.col(key) / F.lit(block)).alias("_block")
-    ).where(F.col(amount).isNotNull() & F.col(day).isNotNull())
-    # One shuffle serves both the rows' windows and the block totals: the two
-    # branches read the same columns, so the exchange is reused.
+        vendor, day, key, amount, F.shiftright(key, block_bits).alias("_block")
+    ).where(
+        F.col(vendor).isNotNull() & F.col(day).isNotNull() & F.col(amount).isNotNull()
+        & F.col("_block").isNotNull()
+    )
+    # One shuffle serves the rows' windows and both totals. The branches must
+    # read the same columns under the same filters for Spark to reuse it, hence
+    # the filters above and the first keys, which also order the blocks.
     rows = spread.repartition(vendor, day, "_block").withColumns({
         "_n": F.lit(1).cast(WIDE),
-        "_s": value,
+        "_s": value.cast(WIDE),
         "_q": (value * value).cast(WIDE),
     })
     sums = [F.sum(c).cast(WIDE).alias(c) for c in totals]
     blocks = rows.groupBy(vendor, day, "_block").agg(F.min(key).alias("_first"), *sums)
-    days = blocks.groupBy(vendor, day).agg(*sums)
+    days = blocks.groupBy(vendor, day).agg(F.min("_first").alias("_first"), *sums)
 
-    def lead_in(level: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-        running = level.withColumns(_running(totals, keys, [order]))
+    def lead_in(level: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+        running = level.withColumns(_running(totals, keys, order))
         return running.select(
             vendor, day, *[c for c in ("_block",) if c in level.columns],
             *[F.col(f"{c}_before").alias(f"{name}{c}") for c in totals],
         )
 
-    day_start = lead_in(days, [vendor], day, "_day")
-    block_start = lead_in(blocks, [vendor, day], "_first", "_blk")
+    day_start = lead_in(days, [vendor], [day, "_first"], "_day")
+    block_start = lead_in(blocks, [vendor, day], ["_first"], "_blk")
     # Joining the two small levels first leaves one join on the rows' own key.
     starts = block_start.join(day_start, [vendor, day]).select(
         vendor, day, "_block",
@@ -82,7 +90,7 @@ def vendor_baseline(df: DataFrame, vendor: str, day: str, key: str, amount: str,
     prior = {c: (F.col(f"{c}_before") + F.col(f"_start{c}")).cast(WIDE) for c in totals}
     n, s, q = (prior[c].cast("double") for c in totals)
     # The mean is divided as a decimal: half cents round the same everywhere.
-    mean = F.round((prior["_s"].cast("decimal(28,4)") / prior["_n"].cast("decimal(9,0)")), 2)
+    mean = F.round(prior["_s"].cast("decimal(28,4)") / prior["_n"].cast("decimal(13,0)"), 2)
     variance = F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)
     stats = full.select(
         vendor, day, key, amount,

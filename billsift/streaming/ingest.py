@@ -48,6 +48,8 @@ def first_seen(docs: DataFrame, hash_col: str, event_time: str | None = None,
     Without an event time the state keeps every hash for good. With one, a
     hash is forgotten once the watermark passes: bounded state, and a copy
     that comes later than ``delay`` is let through; the store refuses it.
+    All copies of a hash meet in one state partition: where one document may
+    make up much of a batch, use ``store_stream``, which reduces copies first.
     """
     if event_time is None:
         return docs.dropDuplicates([hash_col])

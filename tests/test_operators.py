@@ -144,8 +144,8 @@ def test_fraud_bank_account(spark):
         (1, "MATCH"), (2, "MISMATCH"), (3, "MISMATCH"), (4, "UNKNOWN_VENDOR")]
 
 
-@pytest.mark.parametrize("block", [4, 1 << 20])
-def test_vendor_baseline_with_a_hot_vendor(spark, block):
+@pytest.mark.parametrize("bits", [2, 20])
+def test_vendor_baseline_with_a_hot_vendor(spark, bits):
     rng = random.Random(7)
     data = [
         (k, "hot" if k % 3 else f"v{k % 5}", date(2024, 1, 1 + rng.randrange(4)),
@@ -154,7 +154,7 @@ def test_vendor_baseline_with_a_hot_vendor(spark, block):
     ]
     rng.shuffle(data)
     frame = spark.createDataFrame(data, "k bigint, v string, d date, a decimal(18,2)")
-    got = fraud.vendor_baseline(frame.repartition(5), "v", "d", "k", "a", k=1.5, block=block)
+    got = fraud.vendor_baseline(frame.repartition(5), "v", "d", "k", "a", k=1.5, block_bits=bits)
     want = {}
     for k, v, d, a in data:
         earlier = [float(x[3]) for x in data if x[1] == v and (x[2], x[0]) < (d, k)]
