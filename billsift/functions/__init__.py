@@ -7,6 +7,7 @@ from billsift.functions.fields import (
     find_percent,
     first_line,
     first_match,
+    first_with,
     joined,
     label_value,
     last_amount,
@@ -55,6 +56,7 @@ __all__ = [
     "find_percent",
     "first_line",
     "first_match",
+    "first_with",
     "is_item",
     "items",
     "joined",

@@ -205,14 +205,16 @@ def typed_record(df: DataFrame, keys: tuple[str, ...], text: str = "raw_text",
                  path: str = "path") -> DataFrame:
     """Numbers and dates, null for missing, whole amounts whatever the grouping."""
     split = with_lines(df.select(*keys, path, text), text)
-    lines, raw = F.col("lines"), F.col(text)
-    shared = split.withColumns({
-        "_money": B.amount_lines(lines, "strict"),
-        "_percent": B.percent_lines(lines),
-    }).withColumns({
+    raw = F.col(text)
+    # Item lines and lines with a whole amount are among those with any amount.
+    likely = split.withColumns({
+        "_likely": B.amount_lines(F.col("lines")),
+        "_percent": B.percent_lines(F.col("lines")),
+    })
+    shared = likely.withColumn("_money", B.amount_lines(F.col("_likely"), "strict")).withColumns({
         "_money_lower": F.lower(B.joined(F.col("_money"))),
         "items": F.transform(
-            B.items(lines, "strict"),
+            B.items(F.col("_likely"), "strict"),
             lambda x: x.withField("amount", B.to_money(x["amount"])),
         ),
         "_cgst": B.pick_percent(F.col("_percent"), "CGST"),

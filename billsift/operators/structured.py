@@ -46,19 +46,19 @@ def structured_build(df: DataFrame, keys: tuple[str, ...], lines: str = "lines")
     rows = F.col(lines)
     blank = F.lit("")
 
-    def line(*patterns: str) -> Column:
-        return or_blank(B.first_line(rows, *patterns))
+    def line(word: str) -> Column:
+        return or_blank(B.first_with(rows, word, F.col("_lower")))
 
-    picked = df.select(
-        *keys, rows.alias(lines), F.array_join(rows, "\n").alias("_text")
+    picked = df.select(*keys, rows.alias(lines), B.joined(rows).alias("_text")).withColumn(
+        "_lower", F.lower("_text")
     ).withColumns({
         "_name": B.vendor_name(rows),
-        "_buyer": line("(?i)buyer"),
-        "_cgst": line("(?i)cgst"),
-        "_sgst": line("(?i)sgst"),
-        "_igst": line("(?i)igst"),
-        "_words": line(r"(?i)\bonly\b"),
-        "_bank": line("(?i)bank"),
+        "_buyer": line("buyer"),
+        "_cgst": line("cgst"),
+        "_sgst": line("sgst"),
+        "_igst": line("igst"),
+        "_words": or_blank(B.first_line(rows, r"(?i)\bonly\b")),
+        "_bank": line("bank"),
         "_money": B.amount_lines(rows),
     })
     text, money = F.col("_text"), F.col("_money")
