@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,6 +85,12 @@ def variant_slug(setting: Column) -> Column:
     return F.translate(F.replace(setting, F.lit("--"), F.lit("")), " +=,", "__")
 
 
-def run_stamp(ts: Column, fmt: str = K.RECORD_STAMP) -> Column:
-    """A timestamp as text, in the record's or the store's form."""
-    return F.date_format(ts, fmt)
+def run_stamp(at: Column | datetime, fmt: str = K.RECORD_STAMP) -> Column:
+    """A time as text, in the record's or the store's form.
+
+    A Python time is taken as it stands on the clock, whatever the session's
+    time zone.
+    """
+    if isinstance(at, datetime):
+        at = F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.date_format(at, fmt)

@@ -14,18 +14,28 @@ from billsift.functions.text import normalize_currency, or_blank, strip_ws
 # A document is one value in one row, so its page count needs a bound before
 # its pages are brought together. Callers may set their own.
 MAX_PAGES = 100_000
+# From this many rows on, a document is kept out of every shuffle by its key.
+HOT_PAGES = 100_000
 
 
 def page_gate(pages: DataFrame, doc: str, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
     """Split pages into those of documents within the limit and rejected documents.
 
     Pages are counted on the key column alone, with partial counts per task;
-    the rejected side has one row per document: ``(doc, n_pages)``.
+    the rejected side has one row per document: ``(doc, n_pages)``. Documents
+    above ``HOT_PAGES`` number at most rows / ``HOT_PAGES``, so they can be
+    broadcast, and their pages go where they are read; only with a lower limit
+    are the others, each of bounded size, joined by key.
     """
     rejected = pages.groupBy(doc).agg(F.count("*").alias("n_pages")).where(
         F.col("n_pages") > max_pages
     )
-    return pages.join(rejected.select(doc), doc, "left_anti"), rejected
+    hot = rejected.where(F.col("n_pages") > HOT_PAGES).select(doc)
+    kept = pages.join(F.broadcast(hot), doc, "left_anti")
+    if max_pages < HOT_PAGES:
+        cold = rejected.where(F.col("n_pages") <= HOT_PAGES).select(doc)
+        kept = kept.join(cold, doc, "left_anti")
+    return kept, rejected
 
 
 def fold_pages(pages: DataFrame, doc: str, page: str, text: str,

@@ -75,7 +75,6 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
     only its name, ``vendor_name = 'N/A'``, a status and a reason.
     """
     p = PROFILES[profile]
-    stamp = run_ts if isinstance(run_ts, Column) else F.lit(run_ts)
     source = df.select(
         *keys,
         B.safe_path(F.col(path)).alias("filename"),
@@ -111,7 +110,7 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
     fields = {
         "filename": F.col("filename"),
         "status": F.when(failed, F.lit("ERROR")).otherwise(F.lit("PROCESSED")),
-        "processed_on": B.run_stamp(stamp),
+        "processed_on": B.run_stamp(run_ts),
         "ocr_method": F.col("ocr_method"),
         "invoice_type": B.find_contains(lines, K.INVOICE_TYPE_KEYS, F.col("_upper")),
         "invoice_no": B.label_value(raw, "Invoice No"),

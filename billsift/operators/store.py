@@ -39,7 +39,6 @@ def default_fill(df: DataFrame, defaults: dict[str, str] | None = None) -> DataF
 def to_store(records: DataFrame, file_hash: Column, run_ts: datetime | Column,
              key: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows of extracted records; with a key, the whole record encrypted."""
-    stamp = run_ts if isinstance(run_ts, Column) else F.lit(run_ts)
     business = [F.col(c).alias(name) for c, name in STORE_COLUMNS.items()]
     payload = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
     extra = [encrypt(payload, key).alias("json_data_enc")] if key is not None else []
@@ -47,7 +46,7 @@ def to_store(records: DataFrame, file_hash: Column, run_ts: datetime | Column,
         *keys,
         file_hash.alias("file_hash"),
         "filename",
-        run_stamp(stamp, K.STORE_STAMP).alias("upload_date"),
+        run_stamp(run_ts, K.STORE_STAMP).alias("upload_date"),
         *business,
         *extra,
         F.lit("PROCESSED").alias("status"),
@@ -63,11 +62,10 @@ def store_export(store: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def audit_log(docs: DataFrame, filename: Column, file_hash: Column, action: str,
               ts: datetime | Column) -> DataFrame:
     """Rows to append to the audit trail: what was done to which content, when."""
-    at = ts if isinstance(ts, Column) else F.lit(ts)
     return docs.select(
         filename.alias("filename"),
         file_hash.alias("file_hash"),
-        run_stamp(at, K.STORE_STAMP).alias("ts"),
+        run_stamp(ts, K.STORE_STAMP).alias("ts"),
         F.lit(action).alias("action"),
     )
 

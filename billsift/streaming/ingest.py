@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from billsift.operators.dedupe import append_new
 from billsift.operators.documents import prepare
 from billsift.operators.records import extract_record
 
 TEXT_GLOB = "*.txt"
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_text_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
@@ -69,7 +70,9 @@ def store_stream(docs: DataFrame, store_dir: str, checkpoint: str, hash_col: str
         spark = batch.sparkSession
         try:
             store = spark.read.parquet(store_dir).where(F.col("batch_id") != batch_id)
-        except AnalysisException:  # nothing stored yet
+        except AnalysisException as failure:
+            if failure.getCondition() not in NOTHING_STORED:
+                raise
             store = batch.select(hash_col).limit(0)
         new = append_new(batch, store, hash_col, order)
         new.write.mode("overwrite").parquet(f"{store_dir}/batch_id={batch_id}")

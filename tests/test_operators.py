@@ -37,10 +37,15 @@ def test_fold_pages_empty(pages):
     assert documents.fold_pages(pages.limit(0), "doc", "page", "text").count() == 0
 
 
-def test_page_gate(pages):
+@pytest.mark.parametrize("hot", [3, 2, 100_000])
+def test_page_gate(pages, monkeypatch, hot):
+    monkeypatch.setattr(documents, "HOT_PAGES", hot)
     kept, rejected = documents.page_gate(pages, "doc", 3)
     assert {r.doc for r in kept.collect()} == {1, 2}
     assert rows(rejected, "doc") == [(3, 4)]
+    kept, rejected = documents.page_gate(pages, "doc", 2)
+    assert {r.doc for r in kept.collect()} == {2}
+    assert rows(rejected, "doc") == [(1, 3), (3, 4)]
 
 
 def test_route_with_pages(spark, pages):
