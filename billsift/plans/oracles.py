@@ -362,7 +362,6 @@ s AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    all_ids = "len(regexp_extract_all(txt, '{}'))"
     name_a, address_a = buyer(K.BUYER_ANCHORS)
     export = ", ".join(
         f'{sanitized(c)} AS "{RECORD_COLUMNS[c]}"' for c in record_columns("a")
