@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +32,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+    """A new folder name that the driver and every executor can reach.
 
-    Only a local session may fall back to a temporary folder: on a cluster
-    that folder would exist on one machine only.
+    It lies under ``spark.checkpoint.dir`` where the session sets it, else in
+    the warehouse folder, which Spark itself needs to be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="billsift-")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written by ``checkpoint()``, its lineage cut there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession, "cut"))
+    return df.checkpoint()
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that several branches read to the shared folder, and read it.
 
