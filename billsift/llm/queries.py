@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, minhash, simhash
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.compare_edited(table(spark, folder, "documents"))
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"))
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, VOCABULARY).select(
