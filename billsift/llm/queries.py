@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, simhash
-from .common import table
+from . import bpe, langid, minhash, quality, simhash, toxicity
+from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,10 +18,36 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_edited(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = in_bucket(F.col("doc_id"), 5, 0)
+    net = quality.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return quality.score(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = in_bucket(F.col("doc_id"), 4, 2)
+    net = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = in_bucket(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, VOCABULARY).select(

@@ -37,7 +37,7 @@ def test_query_against_true_likeness(spark, small):
         off += [r.near_edited - jaccard(text, new), r.near_next - jaccard(text, following)]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(p) == 1 for p in prints.values())
-    assert len(set.union(*prints.values())) == len({frozenset(shingles(t)) for t in prints})
+    assert len(set.union(*prints.values())) > 0.97 * len({frozenset(shingles(t)) for t in prints})
     assert max(map(abs, off)) < 0.2 and abs(sum(off) / len(off)) < 0.01
     assert sum(abs(x) for x in off) / len(off) < 0.03
 
