@@ -73,9 +73,10 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     step = step.select(*keep, F.transform("_b", lambda v, i: F.when(~_empty(v), v).otherwise(
         F.coalesce(*[draw(i, t) for t in range(TRIES)], ranked(i))).bitwiseAND(_long(LOW))).alias("_b"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda n: F.aggregate(
-        F.slice("_b", n * PER_LONG + 1, PER_LONG), _long(0),
-        lambda packed, v: F.shiftleft(packed, KEPT).bitwiseOR(v)))
+    # one expression per long: in a lambda the optimizer would fill the bins anew for each
+    words = F.array(*[F.aggregate(
+        F.slice("_b", n + 1, PER_LONG), _long(0), lambda packed, v: F.shiftleft(packed, KEPT).bitwiseOR(v))
+        for n in range(0, BINS, PER_LONG)])
     return step.select(*keep, words.alias(out))
 
 
