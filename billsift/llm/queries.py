@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, quality, simhash, toxicity
+from . import bpe, langid, minhash, quality, simhash, suffixes, toxicity
 from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.dedup(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_edited(table(spark, folder, "documents"))
 
