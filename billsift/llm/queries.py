@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, quality, simhash, suffixes, toxicity
+from . import bpe, langid, minhash, mixing, quality, simhash, suffixes, toxicity
 from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Times a source may be repeated in the mix of op1.
+REPEATS = 1.25
+
+
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All tokens of the corpus as budget; one row per document and epoch."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
+    budget = docs.agg(F.sum(words)).first()[0] or 0
+    return mixing.mix(docs, budget=budget, repeats=REPEATS).select("doc_id", "source", "mix_epoch", "mix_key")
+
+
 def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return suffixes.dedup(docs).select(
@@ -66,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.mix_sql(REPEATS)}

@@ -16,7 +16,7 @@ from ..session import cut
 from .common import col, without
 
 #: Length of a repeated string, of an anchor, most string starts in a piece.
-WIDTH, GRAM, RUN = 100, 32, 64
+WIDTH, GRAM, RUN = 100, 64, 64
 #: An anchor with more different pieces is resolved string by string; pieces of one transform.
 HOT, COLLECTION = 4096, 6000
 #: Bytes worked on at once in a task; longer texts are read in overlapping parts.
@@ -121,19 +121,29 @@ class Rows:
     def take(self, which: np.ndarray) -> Rows:
         return Rows(**{n: getattr(self, n)[which] for n, _ in self.KIND})
 
-    def pack(self) -> bytes:
-        return b"".join(getattr(self, n).tobytes() for n, _ in self.KIND)
+    def pack(self, columns=KIND) -> bytes:
+        """Column by column, the bytes of a column by their significance: near values compress well."""
+        return b"".join(getattr(self, n).view("u1").reshape(len(self), -1).T.tobytes() for n, _ in columns)
 
     @classmethod
-    def unpack(cls, blobs: list[bytes]) -> Rows:
-        size = sum(np.dtype(t).itemsize for _, t in cls.KIND)
-        parts: dict[str, list] = {n: [] for n, _ in cls.KIND}
-        for blob in blobs:
-            rows, at = len(blob) // size, 0
-            for n, t in cls.KIND:
-                parts[n].append(np.frombuffer(blob, t, rows, at))
-                at += rows * np.dtype(t).itemsize
-        return cls(**{n: np.concatenate(parts[n]) if blobs else np.zeros(0, t) for n, t in cls.KIND})
+    def unpack(cls, blobs: list[bytes], columns=KIND) -> Rows:
+        size = sum(np.dtype(t).itemsize for _, t in columns)
+        sizes = [len(b) // size for b in blobs]
+        out = {n: np.zeros(sum(sizes), t) for n, t in cls.KIND}
+        done = 0
+        for blob, rows in zip(blobs, sizes):
+            at = 0
+            for n, t in columns:
+                width = np.dtype(t).itemsize
+                part = np.frombuffer(blob, "u1", rows * width, at).reshape(width, rows)
+                out[n][done:done + rows] = np.ascontiguousarray(part.T).view(t).ravel()
+                at += rows * width
+            done += rows
+        return cls(**out)
+
+
+#: What travels of a repeat.
+FOUND = tuple(k for k in Rows.KIND if k[0] in ("doc", "pos", "len", "home"))
 
 
 def firsts(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +163,7 @@ def dealt(rows: Rows, place: np.ndarray, mode: int) -> Iterator[tuple[int, int,
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
-        yield mode, int(place[part[0]]), rows.take(part).pack()
+        yield mode, int(place[part[0]]), rows.take(part).pack(FOUND if mode == DUP else Rows.KIND)
 
 
 def asked(rows: Rows, places: int, mode: int) -> Iterator[tuple[int, int, bytes]]:
@@ -161,9 +171,9 @@ def asked(rows: Rows, places: int, mode: int) -> Iterator[tuple[int, int, bytes]
     order, group, first = firsts(rows)
     once = np.zeros(len(order), bool)
     once[np.unique(group, return_index=True)[1]] = True
-    ask = rows.take(order[once])
+    ask = rows.take(np.sort(order[once]))  # as they stand in the texts
     yield from dealt(ask, ask.a % np.uint64(places), mode)
-    later = rows.take(order[~first])
+    later = rows.take(np.sort(order[~first]))
     yield from dealt(later, later.home % np.uint32(places), DUP)
 
 
@@ -175,7 +185,7 @@ def answered(rows: Rows, ship: bool) -> Iterator[tuple[int, int, bytes]]:
     as hashes instead, so no anchor gathers in one task.
     """
     order, group, first = firsts(rows)
-    later = rows.take(order[~first])
+    later = rows.take(np.sort(order[~first]))
     yield from dealt(later, later.home, DUP)
     if ship and len(order):
         head = order[np.unique(group, return_index=True)[1]]
@@ -209,41 +219,49 @@ def transform(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         column[:len(t), i] = code[t[::-1]]
     symbols = column[0].copy()  # the transform; 0 where a text begins
     common = np.zeros(m, np.uint8)
-    owner, depth = np.arange(m), np.zeros(m, np.int64)
     row = np.arange(m)  # of each text's newest suffix
     alive = np.arange(m)
+
+    def piles(symbols):
+        """Rows in the order of their symbols, each row's place in it, and where a pile begins."""
+        counts = np.bincount(symbols, minlength=len(used) + 1)
+        by_symbol = np.argsort(symbols, kind="stable")[counts[0]:]
+        place = np.zeros(len(symbols), np.int32)
+        place[by_symbol] = np.arange(len(by_symbol), dtype=np.int32)
+        return by_symbol, place, np.cumsum(counts) - counts - counts[0]
+
     for j in range(1, longest + 1):
         alive = alive[size[alive] >= j]
-        n = len(symbols)
-        counts = np.bincount(symbols, minlength=len(used) + 2)
-        pile = np.append(0, np.cumsum(counts[1:]))  # rows before each symbol's pile, texts' ends apart
-        by_symbol = np.argsort(symbols, kind="stable")[counts[0]:]
-        rank = np.empty(n, np.int64)
-        rank[by_symbol] = np.arange(len(by_symbol))
-        at = rank[row[alive]]  # place among all rows but the ends
-        fresh = m + at
-        # common prefixes to the neighbours above and below in the pile
-        spot = np.unique(np.concatenate([at, at + 1]))
-        spot = spot[spot < len(by_symbol)]
-        sign = symbols[by_symbol[spot]]
-        inner = spot > pile[sign - 1]
-        low, high = by_symbol[spot[inner] - 1] + 1, by_symbol[spot[inner]] + 1
+        by_symbol, place, begin = piles(symbols)
+        at = place[row[alive]]
+        fresh = m + at  # below the rows of the texts' ends
+        # common prefixes of new rows and of the rows below them
+        near = np.zeros(len(by_symbol) + 1, bool)
+        near[at] = near[at + 1] = True
+        spot = np.flatnonzero(near[:-1])
+        inner = spot > begin[symbols[by_symbol[spot]]]
+        ends = np.column_stack([by_symbol[spot[inner] - 1] + 1, by_symbol[spot[inner]] + 1]).ravel()
         least = np.zeros(len(spot), np.int64)
-        if len(low):
-            ends = np.column_stack([low, high]).ravel()
-            padded = np.append(common, np.uint8(0))
-            least[inner] = np.minimum.reduceat(padded, ends)[::2].astype(np.int64) + 1
-        total = n + len(alive)
-        old = np.ones(total, bool)
+        if len(ends):
+            least[inner] = np.minimum.reduceat(np.append(common, np.uint8(0)), ends)[::2].astype(np.int64) + 1
+        old = np.ones(len(symbols) + len(alive), bool)
         old[fresh] = False
-        new_symbols, new_common = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        new_owner, new_depth = np.empty(total, np.int64), np.empty(total, np.int64)
-        new_symbols[old], new_common[old], new_owner[old], new_depth[old] = symbols, common, owner, depth
+        new_symbols, new_common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        new_symbols[old], new_common[old] = symbols, common
         new_symbols[fresh] = column[j, alive]
-        new_owner[fresh], new_depth[fresh] = alive, j
         new_common[m + spot] = np.minimum(least, 255)
-        symbols, common, owner, depth = new_symbols, new_common, new_owner, new_depth
+        symbols, common = new_symbols, new_common
         row[alive] = fresh
+
+    # every suffix's row, from the ends of the texts to their beginnings
+    owner, depth = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    place = piles(symbols)[1]
+    row, alive = np.arange(m), np.arange(m)
+    for j in range(1, longest + 1):
+        going = size[alive] >= j
+        alive = alive[going]
+        row = m + place[row[going]]
+        owner[row], depth[row] = alive, j
     return owner, size[owner] - depth, common
 
 
@@ -360,7 +378,7 @@ def answer(key, table):
         modes = table.column("mode").to_numpy()
         blobs = table.column("rows").to_pylist()
         yield from answered(Rows.unpack([b for m, b in zip(modes, blobs) if m == SHIP]), True)
-        done = Rows.unpack([b for m, b in zip(modes, blobs) if m == DUP])
+        done = Rows.unpack([b for m, b in zip(modes, blobs) if m == DUP], FOUND)
         yield from dealt(done, done.home, DUP)
 
     return packed(found())
@@ -413,7 +431,7 @@ def resolve(key, table):
         if sent:
             yield from resolved(sent)
         yield from answered(Rows.unpack([b for m, b in zip(modes, blobs) if m == SPLIT]), False)
-        done = Rows.unpack([b for m, b in zip(modes, blobs) if m == DUP])
+        done = Rows.unpack([b for m, b in zip(modes, blobs) if m == DUP], FOUND)
         yield from dealt(done, done.home, DUP)
 
     return packed(found())
@@ -434,7 +452,7 @@ def carve(fields: list[str], names: list[str]):
 
     def run(key, docs, told):
         blobs = [b for m, b in zip(told.column("mode").to_numpy(), told.column("rows").to_pylist()) if m == DUP]
-        rows = Rows.unpack(blobs)
+        rows = Rows.unpack(blobs, FOUND)
         order = np.lexsort((rows.pos, rows.doc))
         doc, pos, length = rows.doc[order], rows.pos[order], rows.len[order].astype(np.int64)
         text_place = pos & ~np.int64(mask)
@@ -467,7 +485,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (binary, the
     remaining bytes); columns of these names are replaced, all others kept.
 
-    Equal strings share their anchor, the smallest hash of 32 bytes in them, so
+    Equal strings share their anchor, the smallest hash of 64 bytes in them, so
     pieces around one anchor (163 bytes at most) meet at one place and only there can
     strings be equal. Equal pieces enter once (each task sends one, the rest are
     repeats at once), so thousands of copies of a passage, or one in a third of
