@@ -18,7 +18,7 @@ from .common import col, without
 #: Length of a repeated string, of an anchor, most string starts in a piece.
 WIDTH, GRAM, RUN = 100, 64, 64
 #: An anchor with more different pieces is resolved string by string; pieces of one transform.
-HOT, COLLECTION = 4096, 6000
+HOT, COLLECTION = 4096, 2000
 #: Bytes worked on at once in a task; longer texts are read in overlapping parts.
 BLOCK = 1 << 19
 NO_ID = (1 << 63) - 1
