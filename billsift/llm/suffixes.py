@@ -502,8 +502,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    homes = homes or 16 * parts
-    places = 4 * parts
+    homes, places = homes or 4 * parts, parts
     out = ["n_bytes", "n_removed", "n_spans", "kept"]
     base = without(df, out)
     names = base.columns
