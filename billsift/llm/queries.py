@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, quality, simhash, suffixes, toxicity
+from . import bpe, langid, minhash, mixing, pivots, quality, simhash, suffixes, toxicity
 from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.link(table(spark, folder, "embeddings"))
+
+
 def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = in_bucket(F.col("doc_id"), 4, 2)
