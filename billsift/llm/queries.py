@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, pivots, quality, simhash, suffixes, toxicity
+from . import bpe, langid, minhash, mixing, pivots, quality, simhash, suffixes, toolcalls, toxicity
 from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,12 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_edited(table(spark, folder, "documents"))
 
 
+def op4_toolcalls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of ``conversations`` as a call or a result."""
+    calls, results = toolcalls.from_turns(table(spark, folder, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.SCHEMAS)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = in_bucket(F.col("doc_id"), 5, 0)
@@ -82,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mix_sql(REPEATS)}
+    return {"op1_mixing": mixing.mix_sql(REPEATS), "op4_toolcalls": toolcalls.SQL}
