@@ -68,6 +68,17 @@ ENGINE_SETTINGS = (
 # Whole amounts: Indian or Western grouping, or no grouping at all.
 STRICT_AMOUNT = r"(?<![\d,.])(?:\d{1,3}(?:,\d{2,3})+\.\d{2}|\d+\.\d{2})(?![\d.])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The same matches in linear time: a run is only tried from its start or from
+# the end of the match before (``\G``), as a later start could only fail too.
+PERCENT_ONCE = r"(?:\G|(?<!\d))(\d++)%"
+EMAIL_ONCE = (
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+)
+# Of a run of digits only its start or its last three can begin the leftmost
+# match, and no group of three after a comma, as the group before it would.
+AMOUNT_ONCE = (
+    r"(?:\G|(?<!\d)|(?=\d{3}(?!\d)))(?:(?<=\G,)|(?!(?<=\d,)\d{3}(?!\d)))" + AMOUNT
+)
 
 # Every character for which Python's ``str.isspace`` holds.
 WHITESPACE = (

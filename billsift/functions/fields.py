@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from billsift import constants as K
 from billsift.functions.text import or_blank, strip_ws
 
-AMOUNT_PATTERNS = {"parity": K.java_regex(K.AMOUNT), "strict": K.java_regex(K.STRICT_AMOUNT)}
+AMOUNT_PATTERNS = {"parity": K.java_regex(K.AMOUNT_ONCE), "strict": K.java_regex(K.STRICT_AMOUNT)}
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -23,18 +23,29 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
-def label_value(text: Column, *labels: str) -> Column:
+def label_value(text: Column, *labels: str, folded: Column | None = None) -> Column:
     """What follows the first label that matches anywhere in the text.
 
     The blanks around the optional ``:`` or ``-`` may cross a line break, so
-    a label with nothing after it takes the next line.
+    a label with nothing after it takes the next line; at the very end of the
+    text it takes its own mark. No blank is tried twice, so the work is linear.
+
+    A plain text is searched for the label in its lower case (``folded``, where the
+    caller has it already) and read from there on.
     """
+    low = F.lower(text) if folded is None else folded
 
     def after(label: str) -> Column:
-        pattern = label + r"\s*[:\-]?\s*(.+)"
+        def read(source: Column, flags: str) -> Column:
+            value = F.regexp_extract(
+                source, K.java_regex(label + r"\s*+(?:[:\-]\s*+)?+(.+)", flags), 1)
+            mark = F.regexp_extract(source, K.java_regex(label + r"\s*+([:\-])\n*+\z", flags), 1)
+            return F.coalesce(F.nullif(value, F.lit("")), mark)
+
+        at = F.locate(label.lower(), low)
         return F.when(
-            is_ascii(text), F.regexp_extract(text, K.java_regex(pattern, "id"), 1)
-        ).otherwise(F.regexp_extract(text, K.java_regex(pattern, "iudU"), 1))
+            is_ascii(text), F.when(at > 0, read(F.substring(text, at, F.length(text)), "id"))
+        ).otherwise(read(text, "iudU"))
 
     found = [strip_ws(after(label)) for label in labels]
     if len(found) == 1:
@@ -88,7 +99,7 @@ def amount_lines(lines: Column, mode: str = "parity") -> Column:
 
 def percent_lines(lines: Column) -> Column:
     """Only the lines that hold a percentage."""
-    pattern = K.java_regex(K.PERCENT)
+    pattern = K.java_regex(K.PERCENT_ONCE)
     return F.filter(lines, lambda line: F.contains(line, F.lit("%")) & line.rlike(pattern))
 
 
@@ -107,7 +118,7 @@ def pick_amount(money: Column, keyword: str, mode: str = "parity",
 def pick_percent(percent: Column, keyword: str, folded: Column | None = None) -> Column:
     """``find_percent`` over lines already cut to those with a percentage."""
     line = first_with(percent, keyword, folded)
-    return or_blank(F.regexp_extract(line, K.java_regex(K.PERCENT), 1))
+    return or_blank(F.regexp_extract(line, K.java_regex(K.PERCENT_ONCE), 1))
 
 
 def find_amount(lines: Column, keyword: str, mode: str = "parity") -> Column:

@@ -59,11 +59,11 @@ def sanitize_cell(value: Column) -> Column:
 def redact(text: Column) -> Column:
     """Mask e-mails, tax ids and account numbers, for logs."""
     for pattern, mask in (
-        (K.EMAIL, "[EMAIL]"),
+        (K.EMAIL_ONCE, "[EMAIL]"),
         (K.GSTIN, "[GSTIN]"),
         (K.PAN, "[PAN]"),
         (K.ACCOUNT, "[ACCOUNT]"),
-        (K.AMOUNT, "[AMOUNT]"),
+        (K.AMOUNT_ONCE, "[AMOUNT]"),
     ):
         text = F.regexp_replace(text, K.java_regex(pattern), mask)
     return text

@@ -1,61 +1,36 @@
-"""Duplicate documents by content hash."""
+"""Duplicate documents by content hash; a null hash never equals another."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Copies of one document from which its hash counts as hot.
-HOT_COPIES = 1_000_000
-
-
-def _null_safe_key(hash_col: str, row_id: str) -> Column:
-    """A null hash never equals another, and gets its own place in a shuffle."""
-    return F.coalesce(F.col(hash_col), F.concat(F.lit("null:"), F.col(row_id).cast("string")))
-
 
 def first_by_hash(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
     """The first row per hash, whole; rows without a hash are all kept.
 
     An aggregate and not ``row_number``: every task first cuts its copies of a
     document to one, so a hash with a third of all rows stays cheap. The last
-    order column must be unique.
+    order column must be unique; it is the second key of rows without a hash.
     """
-    picked = df.groupBy(_null_safe_key(hash_col, order[-1]).alias("_key")).agg(
+    alone = F.when(F.col(hash_col).isNull(), F.col(order[-1]))
+    picked = df.groupBy(F.col(hash_col).alias("_hash"), alone.alias("_alone")).agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
     )
     return picked.select("_row.*")
 
 
-def find_duplicates(df: DataFrame, hash_col: str, row_id: str,
-                    hot_copies: int = HOT_COPIES) -> DataFrame:
+def find_duplicates(df: DataFrame, hash_col: str) -> DataFrame:
     """Rows whose hash occurs more than once, with the number of copies.
 
-    Copies are counted with partial counts per task. Hashes with more than
-    ``hot_copies`` rows are broadcast: there are at most rows / ``hot_copies``
-    of them, so the table stays small however the data grows. Their rows skip
-    the hash in the shuffle key and spread evenly; every other hash has at most
-    ``hot_copies`` rows in its join task.
+    Copies are counted with partial counts per task; the counts of repeated
+    hashes then meet the rows in a join, where adaptive execution splits a hash
+    with too many rows.
     """
-    # Keys that cannot be null need no null filter, which Catalyst would push
-    # below the hash and so hash every document twice. Rows without a hash have
-    # a key of their own and match nothing.
-    copies = df.groupBy(F.coalesce(F.col(hash_col), F.lit("")).alias("_hash")).agg(
-        F.count("*").alias("_n")
-    ).where(F.col("_n") > 1)
-    hot = copies.where(F.col("_n") > hot_copies).select(
-        F.col("_hash").alias("_key"), F.col("_n").alias("_hot")
-    )
-    rest = copies.where(F.col("_n") <= hot_copies).withColumnRenamed("_hash", "_spot")
-    marked = df.withColumn("_key", _null_safe_key(hash_col, row_id)).join(
-        F.broadcast(hot), "_key", "left"
-    ).withColumn(
-        "_spot",
-        F.when(F.col("_hot").isNull(), F.col("_key"))
-        .otherwise(F.concat(F.lit("hot:"), F.col(row_id).cast("string"))),
-    )
-    joined = marked.join(rest, "_spot", "left").withColumn("copies", F.coalesce("_hot", "_n"))
-    return joined.where(F.col("copies").isNotNull()).select(*df.columns, "copies")
+    copies = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(
+        F.count("*").alias("copies")
+    ).where(F.col("copies") > 1)
+    return df.join(copies, hash_col).select(*df.columns, "copies")
 
 
 def append_new(batch: DataFrame, store: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
@@ -64,8 +39,5 @@ def append_new(batch: DataFrame, store: DataFrame, hash_col: str, order: list[st
     The first row per hash in the batch, unless the store has that hash. Rows
     without a hash are always new.
     """
-    first = first_by_hash(batch, hash_col, order).withColumn(
-        "_key", _null_safe_key(hash_col, order[-1])
-    )
-    seen = store.select(F.coalesce(F.col(hash_col), F.lit("")).alias("_key"))
-    return first.join(seen, "_key", "left_anti").drop("_key")
+    first = first_by_hash(batch, hash_col, order)
+    return first.join(store.select(hash_col), hash_col, "left_anti").select(*batch.columns)

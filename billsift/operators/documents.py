@@ -11,49 +11,53 @@ from pyspark.sql import functions as F
 from billsift import constants as K
 from billsift.functions.text import normalize_currency, or_blank, strip_ws
 
-# A document is one value in one row, so its page count needs a bound before
-# its pages are brought together. Callers may set their own.
-MAX_PAGES = 100_000
-# From this many rows on, a document is kept out of every shuffle by its key.
-HOT_PAGES = 100_000
+# Pages of this many neighbouring numbers are brought together first.
+PAGE_BLOCK_BITS = 10
+ERROR = "error_reason"
 
 
-def page_gate(pages: DataFrame, doc: str, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
-    """Split pages into those of documents within the limit and rejected documents.
+def page_gate(pages: DataFrame, doc: str, max_pages: int) -> tuple[DataFrame, DataFrame]:
+    """Split pages into those of documents within a limit and the refused documents.
 
-    Pages are counted on the key column alone, with partial counts per task;
-    the rejected side has one row per document: ``(doc, n_pages)``. Documents
-    above ``HOT_PAGES`` number at most rows / ``HOT_PAGES``, so they can be
-    broadcast, and their pages go where they are read; only with a lower limit
-    are the others, each of bounded size, joined by key.
+    Only for callers that want a limit. Pages are counted on the key column alone,
+    with partial counts per task; the refused side has one row per document:
+    ``(doc, n_pages)``.
     """
     rejected = pages.groupBy(doc).agg(F.count("*").alias("n_pages")).where(
         F.col("n_pages") > max_pages
     )
-    hot = rejected.where(F.col("n_pages") > HOT_PAGES).select(doc)
-    kept = pages.join(F.broadcast(hot), doc, "left_anti")
-    if max_pages < HOT_PAGES:
-        cold = rejected.where(F.col("n_pages") <= HOT_PAGES).select(doc)
-        kept = kept.join(cold, doc, "left_anti")
-    return kept, rejected
+    return pages.join(rejected.select(doc), doc, "left_anti"), rejected
 
 
 def fold_pages(pages: DataFrame, doc: str, page: str, text: str,
-               max_pages: int = MAX_PAGES) -> DataFrame:
+               max_pages: int | None = None) -> DataFrame:
     """One row per document: its non-empty pages in order, each ended by a newline.
 
-    A document over the page limit is kept as an error row without text, so
-    no task ever holds an unbounded group.
+    Pages meet in two steps, by block of page numbers and then by document, so
+    the pages of a long document are gathered in many tasks. A page's own
+    ``error_reason`` becomes the document's, which then has no text. With a limit, a
+    document over it stays as a row with a reason.
     """
-    kept, rejected = page_gate(pages.select(doc, page, text), doc, max_pages)
+    reasons = [ERROR] if ERROR in pages.columns else []
+    kept, rejected = pages.select(doc, page, text, *reasons), None
+    if max_pages is not None:
+        kept, rejected = page_gate(kept, doc, max_pages)
+    reason = F.max(ERROR) if reasons else F.lit(None).cast("string")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page), F.col(text))))
     filled = F.filter(ordered, lambda p: p[text] != "")
-    folded = kept.groupBy(doc).agg(
-        F.count("*").alias("n_pages"),
-        F.array_join(F.transform(filled, lambda p: F.concat(p[text], F.lit("\n"))), "")
-        .alias("raw_text"),
+    joined = F.array_join(F.transform(filled, lambda p: F.concat(p[text], F.lit("\n"))), "")
+    blocks = kept.groupBy(doc, F.shiftright(page, PAGE_BLOCK_BITS).alias("_block")).agg(
+        F.count("*").alias("n_pages"), joined.alias("raw_text"), reason.alias(ERROR)
     )
-    refused = rejected.withColumn("error_reason", F.lit("TOO_MANY_PAGES"))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "raw_text")))
+    folded = blocks.groupBy(doc).agg(
+        F.sum("n_pages").alias("n_pages"),
+        F.array_join(F.transform(parts, lambda p: p["raw_text"]), "").alias("raw_text"),
+        F.max(ERROR).alias(ERROR),
+    ).withColumn("raw_text", F.when(F.col(ERROR).isNull(), F.col("raw_text")))
+    if rejected is None:
+        return folded
+    refused = rejected.withColumn(ERROR, F.lit("TOO_MANY_PAGES"))
     return folded.unionByName(refused, allowMissingColumns=True)
 
 
@@ -79,21 +83,24 @@ def route_with_pages(docs: DataFrame, fallback_pages: DataFrame, doc: str, text:
     """As ``route_short_text`` with the fallback in another table of pages.
 
     Only short documents take part in the join, and only their pages are
-    folded; long texts are never shuffled.
+    folded; long texts are never shuffled. A reason on either side stays.
     """
     short = is_short(F.col(text), min_chars)
     long_docs = docs.where(~short).withColumn("ocr_method", F.lit("TEXT"))
     short_docs = docs.where(short)
     wanted = fallback_pages.join(short_docs.select(doc), doc, "left_semi")
     fallback = fold_pages(wanted, doc, page, page_text).select(
-        doc, F.col("raw_text").alias("_fallback")
+        doc, F.col("raw_text").alias("_fallback"), F.col(ERROR).alias("_reason")
     )
     routed = short_docs.join(fallback, doc, "left").select(
-        *[c for c in docs.columns if c != text],
+        *[c for c in docs.columns if c not in (text, ERROR)],
+        F.coalesce(F.col(ERROR) if ERROR in docs.columns else F.lit(None), "_reason").alias(ERROR),
         F.concat(or_blank(F.col(text)), or_blank(F.col("_fallback"))).alias(text),
         F.lit("OCR").alias("ocr_method"),
     )
-    return long_docs.unionByName(routed)
+    if ERROR not in docs.columns and ERROR not in fallback_pages.columns:
+        routed = routed.drop(ERROR)
+    return long_docs.unionByName(routed, allowMissingColumns=True)
 
 
 def prepare(docs: DataFrame, text: str = "raw_text", fallback: str = "fallback_text") -> DataFrame:
@@ -105,20 +112,25 @@ def prepare(docs: DataFrame, text: str = "raw_text", fallback: str = "fallback_t
 def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
     """Hook for any page-text extractor over ``binaryFile`` rows.
 
-    Files are spread over the tasks and read in Arrow batches; a file that the
-    extractor cannot read becomes one row with a reason, and the batch goes on.
+    Each file's pages leave as soon as it is read. A file that the extractor
+    cannot read, or that came with a reason, becomes one row with a reason, and
+    the batch goes on. A task holds one Arrow batch of contents: with large
+    files lower ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
+    reason = F.col(ERROR) if ERROR in files.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(path, n, t, None) for n, t in enumerate(extractor(content), 1)]
-                except Exception as failure:  # any file may be broken in any way
-                    rows.append((path, None, None, type(failure).__name__))
-            yield pd.DataFrame(rows, columns=["path", "page_no", "page_text", "error_reason"])
-
-    return files.select("path", "content").mapInPandas(
+            for path, content, refused in zip(batch["path"], batch["content"], batch[ERROR]):
+                if isinstance(refused, str):
+                    rows = [(path, None, None, refused)]
+                else:
+                    try:
+                        rows = [(path, n, t, None) for n, t in enumerate(extractor(content), 1)]
+                    except Exception as failure:  # any file may be broken in any way
+                        rows = [(path, None, None, type(failure).__name__)]
+                yield pd.DataFrame(rows, columns=["path", "page_no", "page_text", ERROR])
+
+    return files.select("path", "content", reason.alias(ERROR)).mapInPandas(
         run, "path string, page_no int, page_text string, error_reason string"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,30 +48,32 @@ def vendor_baseline(df: DataFrame, vendor: str, day: str, key: str, amount: str,
     ``(vendor, day)``, and days in a vendor. A row's total is the sum of the
     three. All sums are exact decimals, so the result does not depend on it.
 
-    Rows without a vendor, day or amount have no baseline and are left out.
-    ``df`` is read by three branches: hand over a stored table, not a long plan
-    (see ``session.materialize``).
+    Rows without a vendor (null or blank), day or amount stay with ``n_prior = 0``
+    and count for no other row. ``df`` is read once.
     """
     totals = ["_n", "_s", "_q"]
     value = F.col(amount).cast("decimal(18,4)")
-    spread = df.select(
-        vendor, day, key, amount, F.shiftright(key, block_bits).alias("_block")
-    ).where(
-        F.col(vendor).isNotNull() & F.col(day).isNotNull() & F.col(amount).isNotNull()
-        & F.col("_block").isNotNull()
-    )
-    # One shuffle serves the rows' windows and both totals. The branches must
-    # read the same columns under the same filters for Spark to reuse it, hence
-    # the filters above and the first keys, which also order the blocks.
-    rows = spread.repartition(vendor, day, "_block").withColumns({
-        "_n": F.lit(1).cast(WIDE),
-        "_s": value.cast(WIDE),
-        "_q": (value * value).cast(WIDE),
+    spread = df.select(vendor, day, key, amount, F.shiftright(key, block_bits).alias("_block"))
+    counts = (F.col(vendor) != "") & F.col(day).isNotNull() & F.col(amount).isNotNull()
+    # One shuffle serves the rows' windows and both totals. The joins compare null-safe,
+    # so that Spark sees no null filter to push into one branch and shuffles once.
+    rows = spread.repartition(vendor, day, "_block").withColumn(
+        "_counts", F.coalesce(counts, F.lit(False))
+    ).withColumns({
+        c: F.when(F.col("_counts"), v).otherwise(F.lit(0)).cast(WIDE)
+        for c, v in zip(totals, (F.lit(1), value, value * value))
     })
     sums = [F.sum(c).cast(WIDE).alias(c) for c in totals]
     blocks = rows.groupBy(vendor, day, "_block").agg(F.min(key).alias("_first"), *sums)
     days = blocks.groupBy(vendor, day).agg(F.min("_first").alias("_first"), *sums)
 
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+        tests = [left[c].eqNullSafe(right[f"_r{c}"]) for c in names]
+        return reduce(lambda a, b: a & b, tests)
+
+    def renamed(level: DataFrame, names: list[str]) -> DataFrame:
+        return level.withColumnsRenamed({c: f"_r{c}" for c in names})
+
     def lead_in(level: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
         running = level.withColumns(_running(totals, keys, order))
         return running.select(
@@ -80,18 +84,21 @@ def vendor_baseline(df: DataFrame, vendor: str, day: str, key: str, amount: str,
     day_start = lead_in(days, [vendor], [day, "_first"], "_day")
     block_start = lead_in(blocks, [vendor, day], ["_first"], "_blk")
     # Joining the two small levels first leaves one join on the rows' own key.
-    starts = block_start.join(day_start, [vendor, day]).select(
+    day_start = renamed(day_start, [vendor, day])
+    starts = block_start.join(day_start, same(block_start, day_start, [vendor, day])).select(
         vendor, day, "_block",
         *[(F.col(f"_blk{c}") + F.col(f"_day{c}")).cast(WIDE).alias(f"_start{c}") for c in totals],
     )
-    full = rows.withColumns(_running(totals, [vendor, day, "_block"], [key])).join(
-        starts, [vendor, day, "_block"]
-    )
-    prior = {c: (F.col(f"{c}_before") + F.col(f"_start{c}")).cast(WIDE) for c in totals}
+    starts = renamed(starts, [vendor, day, "_block"])
+    own = rows.withColumns(_running(totals, [vendor, day, "_block"], [key]))
+    full = own.join(starts, same(own, starts, [vendor, day, "_block"]))
+    prior = {c: F.when(F.col("_counts"), F.col(f"{c}_before") + F.col(f"_start{c}"))
+             .otherwise(F.lit(0)).cast(WIDE) for c in totals}
     n, s, q = (prior[c].cast("double") for c in totals)
     # The mean is divided as a decimal: half cents round the same everywhere.
-    mean = F.round(prior["_s"].cast("decimal(28,4)") / prior["_n"].cast("decimal(13,0)"), 2)
-    variance = F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)
+    some = F.when(n > 0, prior["_n"].cast("decimal(13,0)"))
+    mean = F.round(prior["_s"].cast("decimal(28,4)") / some, 2)
+    variance = F.when(n > 1, F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
     stats = full.select(
         vendor, day, key, amount,
         n.cast("bigint").alias("n_prior"),

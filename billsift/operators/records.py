@@ -61,25 +61,24 @@ def blank_fallback(value: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), other)
 
 
-def _label_or_pattern(text: Column, label: str | None, pattern: str) -> Column:
-    return B.label_value(text, label) if label else B.first_match(text, pattern)
-
-
 def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
                    text: str = "raw_text", path: str = "path",
                    keys: tuple[str, ...] = ()) -> DataFrame:
     """One record per document, plus the key columns and ``error_reason``.
 
     ``df`` holds normalised text and ``ocr_method`` (see ``documents.prepare``).
-    A document whose buyer anchor has no line after it becomes an error row:
-    only its name, ``vendor_name = 'N/A'``, a status and a reason.
+    A document that comes with an ``error_reason``, or whose buyer anchor has no
+    line after it, becomes an error row: only its name, ``vendor_name = 'N/A'``,
+    a status and a reason.
     """
     p = PROFILES[profile]
+    known = F.col("error_reason") if "error_reason" in df.columns else F.lit(None)
     source = df.select(
         *keys,
         B.safe_path(F.col(path)).alias("filename"),
         "ocr_method",
         F.coalesce(F.col(text), F.lit("")).alias("raw_text"),
+        known.cast("string").alias("_reason"),
     )
     # Each step is used several times by the next, so Catalyst keeps them apart.
     split = source.withColumn("lines", B.text_lines(F.col("raw_text")))
@@ -87,6 +86,7 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
     folded = whole.withColumns({
         "_upper": F.upper("_whole"),
         "_lower": F.lower("_whole"),
+        "_folded": F.lower("raw_text"),
     })
     lines, raw = F.col("lines"), F.col("raw_text")
     shared = folded.withColumns({
@@ -105,7 +105,14 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
 
     items, anchor = F.col("_items"), F.col("_anchor")
     cgst, sgst = F.col("_cgst"), F.col("_sgst")
-    failed = B.anchor_is_last(lines, anchor)
+    ends = B.anchor_is_last(lines, anchor)
+    failed = F.col("_reason").isNotNull() | ends
+
+    def label(name: str) -> Column:
+        return B.label_value(raw, name, folded=F.col("_folded"))
+
+    def label_or_pattern(name: str | None, pattern: str) -> Column:
+        return label(name) if name else B.first_match(raw, pattern)
 
     fields = {
         "filename": F.col("filename"),
@@ -113,17 +120,17 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
         "processed_on": B.run_stamp(run_ts),
         "ocr_method": F.col("ocr_method"),
         "invoice_type": B.find_contains(lines, K.INVOICE_TYPE_KEYS, F.col("_upper")),
-        "invoice_no": B.label_value(raw, "Invoice No"),
+        "invoice_no": label("Invoice No"),
         "invoice_date": B.first_match(raw, K.DATE),
-        "due_date": B.label_value(raw, "Due Date"),
-        "place_of_supply": B.label_value(raw, "Place of Supply"),
-        "payment_terms": B.label_value(raw, "Payment Terms"),
+        "due_date": label("Due Date"),
+        "place_of_supply": label("Place of Supply"),
+        "payment_terms": label("Payment Terms"),
         "currency": F.lit("INR"),
         "vendor_name": B.vendor_name(lines, p.vendor_keywords, F.col("_upper")),
         "vendor_address": B.vendor_address(lines),
         "vendor_gstin": B.first_match(raw, K.GSTIN),
-        "vendor_pan": _label_or_pattern(raw, p.pan_label, K.PAN),
-        "vendor_email": B.label_value(raw, "Email"),
+        "vendor_pan": label_or_pattern(p.pan_label, K.PAN),
+        "vendor_email": label("Email"),
         "buyer_name": B.buyer_name(lines, anchor),
         "buyer_address": B.buyer_address(lines, anchor),
         "buyer_gstin": B.buyer_gstin(lines, text=F.col("_whole")),
@@ -140,12 +147,12 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
         "total_tax": amount(p.total_tax),
         "subtotal": amount(p.subtotal),
         "grand_total": amount("Grand Total"),
-        "amount_in_words": B.label_value(raw, "Amount in Words"),
-        "bank_name": B.label_value(raw, p.bank_name),
-        "account_name": B.label_value(raw, "Account Name"),
-        "account_number": _label_or_pattern(raw, p.account_label, K.ACCOUNT),
-        "ifsc_code": _label_or_pattern(raw, p.ifsc_label, K.IFSC),
-        "branch": B.label_value(raw, "Branch"),
+        "amount_in_words": label("Amount in Words"),
+        "bank_name": label(p.bank_name),
+        "account_name": label("Account Name"),
+        "account_number": label_or_pattern(p.account_label, K.ACCOUNT),
+        "ifsc_code": label_or_pattern(p.ifsc_label, K.IFSC),
+        "branch": label("Branch"),
         "raw_text": raw,
     }
     always = {"filename", "status"}
@@ -157,7 +164,7 @@ def extract_record(df: DataFrame, run_ts: datetime | Column, profile: str = "a",
         elif name not in always:
             value = F.when(~failed, value)
         columns.append(value.alias(name))
-    reason = F.when(failed, F.lit("ANCHOR_ON_LAST_LINE")).alias("error_reason")
+    reason = F.coalesce("_reason", F.when(ends, F.lit("ANCHOR_ON_LAST_LINE"))).alias("error_reason")
     return shared.select(*keys, *columns, reason)
 
 
@@ -209,6 +216,7 @@ def typed_record(df: DataFrame, keys: tuple[str, ...], text: str = "raw_text",
     likely = split.withColumns({
         "_likely": B.amount_lines(F.col("lines")),
         "_percent": B.percent_lines(F.col("lines")),
+        "_folded": F.lower(raw),
     })
     shared = likely.withColumn("_money", B.amount_lines(F.col("_likely"), "strict")).withColumns({
         "_money_lower": F.lower(B.joined(F.col("_money"))),
@@ -224,14 +232,15 @@ def typed_record(df: DataFrame, keys: tuple[str, ...], text: str = "raw_text",
         picked = B.pick_amount(F.col("_money"), keyword, "strict", F.col("_money_lower"))
         return B.to_money(picked)
 
+    folded = F.col("_folded")
     return shared.select(
         *keys,
         B.safe_path(F.col(path)).alias("filename"),
-        B.label_value(raw, "Invoice No").alias("invoice_no"),
+        B.label_value(raw, "Invoice No", folded=folded).alias("invoice_no"),
         B.to_day(B.first_match(raw, K.DATE)).alias("invoice_date"),
-        B.to_day(B.label_value(raw, "Due Date")).alias("due_date"),
+        B.to_day(B.label_value(raw, "Due Date", folded=folded)).alias("due_date"),
         B.first_match(raw, K.GSTIN).alias("vendor_gstin"),
-        B.label_value(raw, "Account No").alias("account_number"),
+        B.label_value(raw, "Account No", folded=folded).alias("account_number"),
         B.to_rate(F.col("_cgst")).alias("cgst_rate"),
         B.to_rate(blank_fallback(F.col("_sgst"), F.col("_cgst"))).alias("sgst_rate"),
         amount("CGST").alias("cgst_amount"),

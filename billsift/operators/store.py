@@ -38,12 +38,19 @@ def default_fill(df: DataFrame, defaults: dict[str, str] | None = None) -> DataF
 
 def to_store(records: DataFrame, file_hash: Column, run_ts: datetime | Column,
              key: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Stored rows of extracted records; with a key, the whole record encrypted."""
+    """Stored rows of extracted records; with a key, the whole record encrypted.
+
+    Records with an ``error_reason`` are not stored; the audit log has them. ``id``
+    is unique within the rows stored together, without any order or gap-free count.
+    """
+    if "error_reason" in records.columns:
+        records = records.where(F.col("error_reason").isNull()).drop("error_reason")
     business = [F.col(c).alias(name) for c, name in STORE_COLUMNS.items()]
     payload = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
     extra = [encrypt(payload, key).alias("json_data_enc")] if key is not None else []
     stored = records.select(
         *keys,
+        F.monotonically_increasing_id().alias("id"),
         file_hash.alias("file_hash"),
         "filename",
         run_stamp(run_ts, K.STORE_STAMP).alias("upload_date"),

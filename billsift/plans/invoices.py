@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.operators.documents import MAX_PAGES, page_gate, prepare
+from billsift.operators.documents import ERROR, page_gate, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,32 +88,28 @@ def _choose(k: Column, n: int, options: dict[int, Column], default: Column) -> C
     return F.coalesce(*cases, default)
 
 
-def rejected_orders(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -> DataFrame:
-    """Orders too long to be one document: ``(l_orderkey, n_pages)``."""
-    return page_gate(order_lines(spark, sf_dir), "l_orderkey", max_lines)[1]
-
-
-def invoice_text(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -> DataFrame:
+def invoice_text(spark: SparkSession, sf_dir: str, max_lines: int | None = None) -> DataFrame:
     """``doc_id, path, raw_text, fallback_text``: the rendered documents.
 
-    An order with more than ``max_lines`` items is left to ``rejected_orders``,
-    so the items brought together for one text are bounded.
+    With a limit, an order with more items has no text but an ``error_reason``.
     """
+    lines = order_lines(spark, sf_dir)
     # The join on the order key needs this partitioning anyhow once the items
     # outgrow a broadcast; named here, the text work never runs in one task.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept, rejected = page_gate(order_lines(spark, sf_dir), "l_orderkey", max_lines)
-    orders = (
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        .join(rejected.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-        .repartition(tasks, "o_orderkey")
-    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate") \
+        .repartition("o_orderkey")
+    refused = F.lit(False)
+    if max_lines is not None:
+        lines, rejected = page_gate(lines, "l_orderkey", max_lines)
+        orders = orders.join(rejected.select(F.col("l_orderkey").alias("o_orderkey"), F.lit(
+            "TOO_MANY_PAGES").alias(ERROR)), "o_orderkey", "left")
+        refused = F.col(ERROR).isNotNull()
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     bought = (
-        orders.join(order_items(kept), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        orders.join(order_items(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(supplier, F.col("suppkey") == F.col("s_suppkey"), "left")
     )
@@ -211,11 +207,13 @@ def invoice_text(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -
         F.lit(""),
     )
     copies = F.when(k % 41 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    empty = F.col("items").isNull()
+    empty = F.col("items").isNull() & ~refused
+    reasons = [ERROR] if max_lines is not None else []
     texts = priced.select(
         k,
-        F.when(empty, cat("Scan ", text(k), "\n")).otherwise(full).alias("raw_text"),
+        F.when(empty, cat("Scan ", text(k), "\n")).when(~refused, full).alias("raw_text"),
         F.when(empty, scanned).alias("fallback_text"),
+        *reasons,
     )
     name = F.when(F.col("copy") == 1, F.lit("copy_of_invoice_")).otherwise(F.lit("invoice_"))
     return texts.withColumn("copy", F.explode(copies)).select(
@@ -223,6 +221,7 @@ def invoice_text(spark: SparkSession, sf_dir: str, max_lines: int = MAX_PAGES) -
         F.concat(F.lit("inbox/"), name, text(k), F.lit(".txt")).alias("path"),
         "raw_text",
         "fallback_text",
+        *reasons,
     )
 
 

@@ -283,7 +283,7 @@ st AS (
     coalesce(cgst_amount, '0') AS cgst, coalesce(sgst_amount, '0') AS sgst,
     coalesce(grand_total, '0') AS grand_total, coalesce(currency, 'INR') AS currency,
     'PROCESSED' AS status
-  FROM rec)
+  FROM rec WHERE error_reason IS NULL)
 """
 
 
@@ -374,8 +374,15 @@ def oracle_sql() -> dict[str, str]:
                 AS raw_text
             FROM conversations GROUP BY conv_id""",
         "page_gate": """
-            SELECT conv_id, turn FROM conversations
-            QUALIFY count(*) OVER (PARTITION BY conv_id) <= 5""",
+            SELECT conv_id, turn, NULL::BIGINT AS n_pages FROM conversations
+            QUALIFY count(*) OVER (PARTITION BY conv_id) <= 5
+            UNION ALL
+            SELECT conv_id, NULL, count(*) FROM conversations GROUP BY conv_id HAVING count(*) > 5""",
+        "size_gate": r"""
+            SELECT page_id, regexp_extract(url, '[^/\\]*$', 0) AS name, strlen(html)::BIGINT AS length,
+              strlen(html) <= 2000 AS size_ok FROM pages""",
+        "type_gate": """
+            SELECT page_id, starts_with(html, '<!DOCTYPE') AS type_ok FROM pages""",
         "route_short_text": f"""
             WITH f AS (
               SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS pages
@@ -458,17 +465,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CASE WHEN scanned OR k % 5 <> 0 THEN 'TAX INVOICE' ELSE '' END
               AS invoice_type FROM d"""),
         "error_rows": truth("""
-            SELECT filename, CASE WHEN failed THEN 'ERROR' ELSE 'PROCESSED' END AS status,
-              CASE WHEN failed THEN NULL
+            SELECT filename,
+              CASE WHEN failed OR n_lines > 10 THEN 'ERROR' ELSE 'PROCESSED' END AS status,
+              CASE WHEN failed OR n_lines > 10 THEN NULL
                    WHEN scanned THEN 'SCAN-' || k WHEN k % 13 = 0 THEN '. ' || k
                    ELSE 'INV-' || k END AS invoice_no,
-              CASE WHEN failed THEN 'N/A' WHEN scanned OR k % 23 = 0 THEN ''
+              CASE WHEN failed OR n_lines > 10 THEN 'N/A' WHEN scanned OR k % 23 = 0 THEN ''
                    ELSE company END AS vendor_name,
-              CASE WHEN failed THEN 'ANCHOR_ON_LAST_LINE' END AS error_reason
-            FROM d WHERE coalesce(n_lines, 0) <= 10
-            UNION ALL
-            SELECT 'invoice_' || l_orderkey || '.txt', 'ERROR', NULL, 'N/A', 'TOO_MANY_PAGES'
-            FROM g WHERE n_lines > 10"""),
+              CASE WHEN n_lines > 10 THEN 'TOO_MANY_PAGES'
+                   WHEN failed THEN 'ANCHOR_ON_LAST_LINE' END AS error_reason
+            FROM d"""),
         # ---- typed checks
         "typed_record": truth(f"""
             SELECT doc_id,
@@ -514,7 +520,8 @@ def oracle_sql() -> dict[str, str]:
                   AS stddev_prior FROM m)
             SELECT doc_id, vgstin AS vendor_gstin, amount, n AS n_prior, mean_prior, stddev_prior,
               coalesce(abs(amount - mean_prior) > 2.0 * stddev_prior, false) AS out_of_line
-            FROM z"""),
+            FROM z
+            UNION ALL SELECT doc_id, '', NULL, 0, NULL, NULL, false FROM d WHERE scanned"""),
         # ---- store, export
         "default_fill": text("""
             SELECT doc_id, invoice_number, invoice_date, vendor_name, vendor_gstin, buyer_name,
@@ -522,6 +529,13 @@ def oracle_sql() -> dict[str, str]:
         "store_export": text(
             "SELECT doc_id, " + ", ".join(f'{c} AS "{h}"' for c, h in STORE_EXPORT.items())
             + " FROM st", stored()),
+        "stored_record": text("""
+            SELECT doc_id, sha256(txt) AS file_hash, filename, invoice_no, invoice_date, vendor_name,
+              grand_total, raw_text FROM rec WHERE error_reason IS NULL""",
+            f", rec AS (SELECT doc_id, txt, {record('a')} FROM t)"),
+        "store_ids": text(
+            "SELECT count(*)::HUGEINT::BIGINT AS n_rows, count(*) AS n_ids FROM st", stored()),
+        "export_count": text("SELECT count(*) AS n_read, count(*) AS n_written FROM st", stored()),
         "export_records": text(
             f"SELECT doc_id, {export} FROM rec",
             f", rec AS (SELECT doc_id, {record('a')} FROM t)"),
@@ -599,6 +613,9 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN score > -1 THEN CAST(turn AS VARCHAR) ELSE '' END AS best_variant,
               CASE WHEN score > -1 THEN text ELSE '' END AS best_text
             FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1""",
+        "candidate_sink": f"""
+            SELECT conv_id, turn, turn % 16 AS page_no, text FROM conversations
+            WHERE turn % 3 <> 0 AND trim(text, {WS}) <> ''""",
         # ---- structured
         "raw_lines": text(
             "SELECT doc_id, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_no, "
@@ -634,7 +651,7 @@ def oracle_sql() -> dict[str, str]:
             WITH {HASHED} SELECT file_hash, count(*) AS n FROM (SELECT DISTINCT file_hash FROM h)
             GROUP BY file_hash""",
         "stream_store": f"""
-            WITH {HASHED} SELECT DISTINCT file_hash FROM h""",
+            WITH {HASHED} SELECT min(doc_id) AS doc_id, file_hash FROM h GROUP BY file_hash""",
         "stream_status": truth("""
             SELECT CASE WHEN failed THEN 'ERROR' ELSE 'PROCESSED' END AS status,
               count(*) AS n_documents FROM d GROUP BY 1"""),

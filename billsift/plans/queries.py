@@ -17,7 +17,6 @@ from billsift import constants as K
 from billsift import functions as B
 from billsift.operators import candidates, dedupe, documents, fraud, store, structured, validate
 from billsift.operators.records import (
-    error_rows,
     explode_items,
     extract_record,
     typed_record,
@@ -28,12 +27,11 @@ from billsift.operators.records import (
 from billsift.plans.invoices import (
     invoice_text,
     prepared_invoices,
-    rejected_orders,
     table,
     vendor_master,
 )
-from billsift.schemas import STORE_DEFAULTS, record_columns
-from billsift.session import materialize, shared_dir
+from billsift.schemas import RAW_EXTRACTION, STORE_DEFAULTS, STRUCTURED_INVOICE, record_columns
+from billsift.session import shared_dir
 from billsift.sources import files, sinks
 from billsift.streaming import ingest
 
@@ -74,14 +72,27 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sources and documents --------------------------------------------------
 
-def scan_files(spark, sf_dir):
-    found = files.scan_files(spark, sf_dir, "*.parquet")
-    return found.select(B.safe_path(F.col("path")).alias("name"), "length")
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files: bytes, length and a name."""
+    content = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", B.safe_path(F.col("url")).alias("name"), content.alias("content"),
+        F.octet_length("html").cast("bigint").alias("length"),
+    )
+
+
+def size_gate(spark, sf_dir):
+    gated = files.size_gate(_page_files(spark, sf_dir), max_bytes=2000)
+    return gated.select("page_id", "name", "length", "size_ok")
 
 
 def type_gate(spark, sf_dir):
-    checked = files.type_gate(files.scan_files(spark, sf_dir, "*.parquet"), b"PAR1")
-    return checked.select(B.safe_path(F.col("path")).alias("name"), "type_ok")
+    return files.type_gate(_page_files(spark, sf_dir), b"<!DOCTYPE").select("page_id", "type_ok")
+
+
+def scan_files(spark, sf_dir):
+    found = files.scan_files(spark, sf_dir, "*.parquet")
+    return found.select(B.safe_path(F.col("path")).alias("name"), "length", "error_reason")
 
 
 def fold_pages(spark, sf_dir):
@@ -90,8 +101,10 @@ def fold_pages(spark, sf_dir):
 
 
 def page_gate(spark, sf_dir):
+    """Pages within a limit, and a row for each document over it."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    return documents.page_gate(turns, "conv_id", max_pages=5)[0]
+    kept, refused = documents.page_gate(turns, "conv_id", max_pages=5)
+    return union_records(kept, refused).select("conv_id", "turn", "n_pages")
 
 
 def route_short_text(spark, sf_dir):
@@ -229,16 +242,9 @@ def invoice_type(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", kind.alias("invoice_type"))
 
 
-def error_rows_union(spark, sf_dir):
-    limit = 10
-    records = extract_record(
-        documents.prepare(invoice_text(spark, sf_dir, max_lines=limit)), RUN_TS
-    )
-    name = F.concat(F.lit("invoice_"), F.col("l_orderkey").cast("string"), F.lit(".txt"))
-    refused = error_rows(
-        rejected_orders(spark, sf_dir, max_lines=limit), name, F.lit("TOO_MANY_PAGES")
-    )
-    return union_records(records, refused).select(
+def error_rows(spark, sf_dir):
+    docs = documents.prepare(invoice_text(spark, sf_dir, max_lines=10))
+    return extract_record(docs, RUN_TS).select(
         "filename", "status", "invoice_no", "vendor_name", "error_reason"
     )
 
@@ -277,9 +283,8 @@ def fraud_bank_account(spark, sf_dir):
 
 def vendor_baseline(spark, sf_dir):
     wanted = _typed(spark, sf_dir).select("doc_id", "vendor_gstin", "invoice_date", "grand_total")
-    seen = materialize(wanted, "typed").where(F.col("vendor_gstin") != "")
     scored = fraud.vendor_baseline(
-        seen, "vendor_gstin", "invoice_date", "doc_id", "grand_total", k=2.0
+        wanted, "vendor_gstin", "invoice_date", "doc_id", "grand_total", k=2.0
     )
     return scored.select(
         "doc_id", "vendor_gstin", F.col("grand_total").cast("double").alias("amount"),
@@ -289,11 +294,11 @@ def vendor_baseline(spark, sf_dir):
 
 # ---- store and export -------------------------------------------------------
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, key: Column | None = None) -> DataFrame:
     prepared = prepared_invoices(spark, sf_dir)
     hashed = prepared.withColumn("file_hash", B.content_hash(F.col("raw_text")))
     records = extract_record(hashed, RUN_TS, keys=("doc_id", "file_hash"))
-    return store.to_store(records, F.col("file_hash"), RUN_TS, keys=ID)
+    return store.to_store(records, F.col("file_hash"), RUN_TS, key, keys=ID)
 
 
 def default_fill(spark, sf_dir):
@@ -304,6 +309,30 @@ def store_export(spark, sf_dir):
     return store.store_export(_stored(spark, sf_dir), keys=ID)
 
 
+def stored_record(spark, sf_dir):
+    """The stored record decrypted again."""
+    key = B.key_column(spark, secrets.token_bytes(32))
+    plain = B.decrypt(F.col("json_data_enc"), key)
+    wanted = ("filename", "invoice_no", "invoice_date", "vendor_name", "grand_total", "raw_text")
+    fields = F.from_json(plain, ", ".join(f"{c} string" for c in wanted))
+    stored = _stored(spark, sf_dir, key)
+    return stored.select("doc_id", "file_hash", fields.alias("r")).select("doc_id", "file_hash", "r.*")
+
+
+def store_ids(spark, sf_dir):
+    """Rows of the store and distinct ids among them."""
+    counts = _stored(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
+    return counts.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"))
+
+
+def export_count(spark, sf_dir):
+    """What an export of the store says it wrote, and what can be read back."""
+    path = shared_dir(spark, "export")
+    n = sinks.export_store(_stored(spark, sf_dir), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.agg(F.count("*").alias("n_read")).withColumn("n_written", F.lit(n).cast("bigint"))
+
+
 def export_records(spark, sf_dir):
     return sinks.export_view(_records(spark, sf_dir), keys=ID)
 
@@ -347,7 +376,7 @@ def first_by_hash(spark, sf_dir):
 
 def find_duplicates(spark, sf_dir):
     hashed = _hashed(spark, sf_dir).select("doc_id", "file_hash")
-    return dedupe.find_duplicates(hashed, "file_hash", "doc_id")
+    return dedupe.find_duplicates(hashed, "file_hash")
 
 
 def append_new(spark, sf_dir):
@@ -423,20 +452,30 @@ def best_candidate(spark, sf_dir):
     return candidates.best_candidate(turns, ["conv_id"], "turn", "text")
 
 
+def candidate_sink(spark, sf_dir):
+    """Turns written as candidates and read back: blank ones are not among them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    blank = turns.withColumn("text", F.when(F.col("turn") % 3 == 0, F.lit(" \n")).otherwise(F.col("text")))
+    path = shared_dir(spark, "candidates")
+    sinks.write_candidates(blank.withColumn("page_no", F.col("turn") % 16), path)
+    back = spark.read.schema("conv_id bigint, turn bigint, text string, page_no bigint").parquet(path)
+    return back.select("conv_id", "turn", "page_no", "text")
+
+
 # ---- structured -------------------------------------------------------------
 
 def _raw_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered invoices as page extractions: items are the table, the rest text."""
-    lines = F.col("lines")
-    rows = F.transform(F.filter(lines, B.is_item), lambda x: F.split(x, " "))
+    marked = _lines(spark, sf_dir).select("doc_id", F.transform(
+        "lines", lambda x: F.struct(B.is_item(x).alias("item"), x.alias("line"))).alias("m"))
+    rows = F.transform(F.filter("m", lambda x: x["item"]), lambda x: F.split(x["line"], " "))
+    blocks = F.transform(F.filter("m", lambda x: ~x["item"]), lambda x: x["line"])
     page = F.struct(
-        F.lit(1).alias("page"),
-        F.array(rows).alias("tables"),
-        F.filter(lines, lambda x: ~B.is_item(x)).alias("text_blocks"),
-    )
-    return _lines(spark, sf_dir).select(
-        "doc_id", F.array(page).alias("pages")
-    ).select("doc_id", structured.raw_lines(F.col("pages")).alias("lines"))
+        F.lit(1).alias("page"), F.array(rows).alias("tables"), blocks.alias("text_blocks"))
+    # as a JSON source holds it: text, parsed with the declared schema
+    text = F.to_json(F.struct(F.lit("f").alias("file"), F.array(page).alias("pages")))
+    parsed = marked.select("doc_id", F.from_json(text, RAW_EXTRACTION).alias("raw"))
+    return parsed.select("doc_id", structured.raw_lines(F.col("raw.pages")).alias("lines"))
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +500,10 @@ def leftover_lines(spark, sf_dir):
 
 
 def structured_flatten(spark, sf_dir):
-    flat = structured.structured_flatten(_structured(spark, sf_dir), ID)
+    # through JSON lines text, as the structured source reads it
+    text = structured_build(spark, sf_dir)
+    nested = text.select("doc_id", F.from_json("invoice", STRUCTURED_INVOICE).alias("i")).select("doc_id", "i.*")
+    flat = structured.structured_flatten(nested, ID)
     return flat.withColumns({
         "n_items": F.size("line_items").cast("bigint"),
         "n_declarations": F.size("declarations").cast("bigint"),
@@ -516,7 +558,7 @@ def stream_store(spark, sf_dir):
         ingest.store_stream(
             _document_stream(spark, sf_dir), out, log, "file_hash", ["doc_id"]
         ).awaitTermination()
-    return spark.read.parquet(out).select("file_hash")
+    return spark.read.parquet(out).select("doc_id", "file_hash")
 
 
 def stream_status(spark, sf_dir):
@@ -537,6 +579,7 @@ def stream_status(spark, sf_dir):
 def queries() -> dict[str, Query]:
     return {
         "scan_files": scan_files,
+        "size_gate": size_gate,
         "type_gate": type_gate,
         "fold_pages": fold_pages,
         "page_gate": page_gate,
@@ -555,7 +598,7 @@ def queries() -> dict[str, Query]:
         "buyer_block": buyer_block,
         "buyer_gstin": buyer_gstin,
         "invoice_type": invoice_type,
-        "error_rows": error_rows_union,
+        "error_rows": error_rows,
         "typed_record": typed,
         "reconcile_totals": reconcile_totals,
         "tax_check": tax_check,
@@ -564,6 +607,9 @@ def queries() -> dict[str, Query]:
         "vendor_baseline": vendor_baseline,
         "default_fill": default_fill,
         "store_export": store_export,
+        "stored_record": stored_record,
+        "store_ids": store_ids,
+        "export_count": export_count,
         "export_records": export_records,
         "sanitize_cells": sanitize_cells,
         "review_queue": review_queue,
@@ -583,6 +629,7 @@ def queries() -> dict[str, Query]:
         "candidate_parse": candidate_parse,
         "variant_slug": variant_slug,
         "best_candidate": best_candidate,
+        "candidate_sink": candidate_sink,
         "raw_lines": raw_lines,
         "structured_items": structured_items,
         "leftover_lines": leftover_lines,

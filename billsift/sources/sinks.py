@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from billsift.operators.candidates import non_blank
 from billsift.operators.dedupe import append_new, first_by_hash
 from billsift.operators.store import store_export
 from billsift.schemas import RECORD_COLUMNS
+from billsift.session import materialize
 
 
 def sanitize(df: DataFrame) -> DataFrame:
@@ -26,28 +27,33 @@ def export_view(records: DataFrame, sanitized: bool = True, keys: tuple[str, ...
     return rows.select(*keys, *shown)
 
 
-def _write(df: DataFrame, path: str, fmt: str, mode: str) -> None:
-    writer = df.write.mode(mode).format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
-    writer.save(path)
+def _write(df: DataFrame, path: str, fmt: str, mode: str) -> int:
+    """Write computed rows and return their number; no rows leave the target as it was.
+
+    The rows are computed once, counted on the way into the scratch folder, and
+    copied from there.
+    """
+    seen = Observation()
+    rows = materialize(df.observe(seen, F.count("*").alias("n")), "export")
+    if seen.get["n"]:
+        writer = rows.write.mode(mode).format(fmt)
+        if fmt == "csv":
+            writer = writer.option("header", True).option("escape", '"')
+        writer.save(path)
+    return seen.get["n"]
 
 
 def export_records(records: DataFrame, path: str, fmt: str = "csv", sanitized: bool = True,
                    mode: str = "overwrite") -> None:
     """Write the export; no records is an error, as nothing would be written."""
-    if records.isEmpty():
+    if not _write(export_view(records, sanitized), path, fmt, mode):
         raise ValueError("No data to export")
-    _write(export_view(records, sanitized), path, fmt, mode)
 
 
 def export_store(store: DataFrame, path: str, sanitized: bool = True) -> int:
     """Write the store as CSV and return its row count; 0 writes nothing."""
     view = store_export(store)
-    count = store.count()
-    if count:
-        _write(sanitize(view) if sanitized else view, path, "csv", "overwrite")
-    return count
+    return _write(sanitize(view) if sanitized else view, path, "csv", "overwrite")
 
 
 def write_structured(invoices: DataFrame, path: str) -> None:

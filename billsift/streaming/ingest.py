@@ -63,19 +63,25 @@ def store_stream(docs: DataFrame, store_dir: str, checkpoint: str, hash_col: str
 
     Each micro-batch is compared with the store and written to its own folder,
     which a retry of the same batch overwrites: a lost executor or a restarted
-    query neither repeats nor loses a row.
+    query neither repeats nor loses a row. The store is foldered by the first two
+    signs of the hash (rows without one apart), and a batch reads only the folders
+    of its own hashes: 257 at most, so their names may come to the driver.
     """
+    prefix = F.coalesce(F.substring(hash_col, 1, 2), F.lit("none"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            store = spark.read.parquet(store_dir).where(F.col("batch_id") != batch_id)
+            own = [r[0] for r in batch.select(prefix).distinct().collect()]
+            stored = spark.read.schema(f"{hash_col} string, batch_id bigint, prefix string").parquet(store_dir)
+            store = stored.where((F.col("batch_id") != batch_id) & F.col("prefix").isin(own))
         except AnalysisException as failure:
             if failure.getCondition() not in NOTHING_STORED:
                 raise
             store = batch.select(hash_col).limit(0)
         new = append_new(batch, store, hash_col, order)
-        new.write.mode("overwrite").parquet(f"{store_dir}/batch_id={batch_id}")
+        new.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(
+            f"{store_dir}/batch_id={batch_id}")
 
     return (
         docs.writeStream.foreachBatch(write)
