@@ -66,7 +66,8 @@ ENGINE_SETTINGS = (
 
 # ---- Our own values ---------------------------------------------------------
 # Whole amounts: Indian or Western grouping, or no grouping at all.
-STRICT_AMOUNT = r"(?<![\d,.])(?:\d{1,3}(?:,\d{2,3})+\.\d{2}|\d+\.\d{2})(?![\d.])"
+# Possessive groups: Java reads others of unlike lengths by recursion.
+STRICT_AMOUNT = r"(?<![\d,.])(?:\d{1,3}(?:,\d{2,3}+)++\.\d{2}|\d+\.\d{2})(?![\d.])"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 # The same matches in linear time: a run is only tried from its start or from
 # the end of the match before (``\G``), as a later start could only fail too.

@@ -42,8 +42,9 @@ def test_scan_and_type_gate(spark, tmp_path):
     put(tmp_path / "in", "big.pdf", b"%PDF-" + b"x" * 100)
     put(tmp_path / "in", "note.txt", b"%PDF-")
     found = files.scan_files(spark, str(tmp_path / "in"), max_bytes=50)
-    gated = files.type_gate(found).select(B.safe_path(F.col("path")).alias("n"), "type_ok")
-    assert {(r.n, r.type_ok) for r in gated.collect()} == {("a.pdf", True), ("fake.pdf", False)}
+    gated = files.type_gate(found).select(B.safe_path(F.col("path")).alias("n"), "type_ok", "error_reason")
+    assert {tuple(r) for r in gated.collect()} == {
+        ("a.pdf", True, None), ("fake.pdf", False, None), ("big.pdf", None, "FILE_TOO_LARGE")}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,50)" in plan
 
@@ -52,11 +53,24 @@ def test_json_sources_take_one_object_or_an_array(spark, tmp_path):
     invoice = {"supplier": {"name": "A"}, "line_items": [{"description": "d", "qty": "1"}]}
     put(tmp_path / "s", "one.json", json.dumps(invoice, indent=1))
     put(tmp_path / "s", "many.json", json.dumps([invoice, invoice], indent=1))
-    got = files.read_structured(spark, str(tmp_path / "s"))
-    assert got.count() == 3 and {r.supplier.name for r in got.collect()} == {"A"}
+    put(tmp_path / "s", "broken.json", "{ no")
+    got = files.read_structured(spark, str(tmp_path / "s"), multi_line=True).cache()
+    assert {(r.supplier and r.supplier.name, r.error_reason) for r in got.collect()} == {
+        ("A", None), (None, "MALFORMED_JSON")}
+    assert got.count() == 4
     raw = {"file": "f", "pages": [{"page": 1, "tables": [[["a", "b"]]], "text_blocks": ["t"]}]}
     put(tmp_path / "r", "raw.json", json.dumps(raw, indent=1))
-    assert files.read_raw_extraction(spark, str(tmp_path / "r")).first().pages[0].tables == [[["a", "b"]]]
+    back = files.read_raw_extraction(spark, str(tmp_path / "r"), multi_line=True)
+    assert back.first().pages[0].tables == [[["a", "b"]]]
+
+
+def test_structured_sink_and_source_hold_every_row(spark, tmp_path):
+    rows = spark.range(500).select(F.struct(F.concat(F.lit("A"), "id").alias("name")).alias("supplier"))
+    sinks.write_structured(rows.coalesce(1), str(tmp_path / "out"))
+    put(tmp_path / "out", "part-x.json", '{"supplier": {"name": "B"}}\n{ no\n')
+    back = files.read_structured(spark, str(tmp_path / "out")).cache()
+    assert back.count() == 502 and back.where("error_reason is null").count() == 501
+    assert {r[0] for r in back.select("supplier.name").collect()} == {f"A{i}" for i in range(500)} | {"B", None}
 
 
 def test_candidates_from_files(spark, tmp_path):

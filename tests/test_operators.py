@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billsift import functions as B
-from billsift.operators import candidates, dedupe, documents, fraud, store, structured, validate
+from billsift.operators import candidates, dedupe, documents, fraud, records, store, structured, validate
 from billsift.schemas import RAW_EXTRACTION, STORE_DEFAULTS
 
 
@@ -37,9 +37,16 @@ def test_fold_pages_empty(pages):
     assert documents.fold_pages(pages.limit(0), "doc", "page", "text").count() == 0
 
 
-@pytest.mark.parametrize("hot", [3, 2, 100_000])
-def test_page_gate(pages, monkeypatch, hot):
-    monkeypatch.setattr(documents, "HOT_PAGES", hot)
+def test_fold_pages_without_a_limit_and_over_blocks(spark, pages):
+    got = rows(documents.fold_pages(pages, "doc", "page", "text"), "doc")
+    assert got == [(1, 3, "a\nb\n", None), (2, 1, "", None), (3, 4, "x\ny\nz\nw\n", None)]
+    many = [(1, n, str(n)) for n in range(3000, 0, -1)] + [(1, None, "first")]
+    long = spark.createDataFrame(many, "doc int, page int, text string").repartition(5)
+    row = documents.fold_pages(long, "doc", "page", "text").first()
+    assert row.n_pages == 3001 and row.raw_text == "first\n" + "".join(f"{n}\n" for n in range(1, 3001))
+
+
+def test_page_gate(pages):
     kept, rejected = documents.page_gate(pages, "doc", 3)
     assert {r.doc for r in kept.collect()} == {1, 2}
     assert rows(rejected, "doc") == [(3, 4)]
@@ -74,6 +81,30 @@ def test_extractor_hook_keeps_going(spark):
     ]
 
 
+def test_reasons_reach_the_record(spark):
+    """Unreadable and refused files end as error records, the others as records."""
+    files = spark.createDataFrame(
+        [("in/a.pdf", bytearray(b"Acme PVT LTD\fInvoice No: 7 and enough text to be no scan at all"), None),
+         ("in/b.pdf", bytearray(b"\xff"), None), ("in/c.pdf", None, "FILE_TOO_LARGE")],
+        "path string, content binary, error_reason string")
+    pages = documents.extract_pages(files, lambda content: content.decode().split("\f"))
+    docs = documents.fold_pages(pages, "path", "page_no", "page_text").withColumn("fallback_text", F.lit(""))
+    got = records.extract_record(documents.prepare(docs), datetime(2024, 1, 1)).orderBy("filename").collect()
+    assert [(r.filename, r.status, r.vendor_name, r.invoice_no, r.error_reason) for r in got] == [
+        ("a.pdf", "PROCESSED", "Acme PVT LTD", "7 and enough text to be no scan at all", None),
+        ("b.pdf", "ERROR", "N/A", None, "UnicodeDecodeError"),
+        ("c.pdf", "ERROR", "N/A", None, "FILE_TOO_LARGE")]
+    kept = store.to_store(records.extract_record(documents.prepare(docs), datetime(2024, 1, 1)), F.lit("h"), datetime(2024, 1, 1))
+    assert [r.filename for r in kept.collect()] == ["a.pdf"]
+
+
+def test_fallback_reasons_are_kept(spark):
+    docs = spark.createDataFrame([(1, "short"), (2, "x" * 60)], "doc int, body string")
+    pages = spark.createDataFrame([(1, None, None, "BROKEN")], "doc int, page int, t string, error_reason string")
+    got = documents.route_with_pages(docs, pages, "doc", "body", "page", "t").orderBy("doc").collect()
+    assert [(r.doc, r.error_reason) for r in got] == [(1, "BROKEN"), (2, None)]
+
+
 # ---- duplicates -------------------------------------------------------------
 
 @pytest.fixture(scope="module")
@@ -88,12 +119,28 @@ def test_first_by_hash_keeps_every_row_without_hash(hashed):
     assert got == {0, 100, 102, 200, 201, 202, 203, 204}
 
 
-@pytest.mark.parametrize("hot", [3, 1_000_000])
-def test_find_duplicates_hot_and_cold_agree(hashed, hot):
-    got = rows(dedupe.find_duplicates(hashed, "h", "id", hot_copies=hot), "id")
+@pytest.mark.parametrize("skew", ["1b", "256m"])
+def test_find_duplicates(spark, hashed, skew):
+    keys = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k) for k in keys]
+    for key, value in zip(keys, (skew, "-1")):
+        spark.conf.set(key, value)
+    got = rows(dedupe.find_duplicates(hashed, "h"), "id")
+    for key, value in zip(keys, before):
+        spark.conf.set(key, value)
     assert got == [(i, "hot", 40) for i in range(40)] + [(100, "b", 2), (101, "b", 2)]
 
 
+def test_blank_and_null_hashes_stay_apart(spark):
+    batch = spark.createDataFrame([(1, ""), (2, None), (3, None)], "id int, h string")
+    store_ = spark.createDataFrame([(9, None)], "id int, h string")
+    assert {r.id for r in dedupe.append_new(batch, store_, "h", ["id"]).collect()} == {1, 2, 3}
+    blank = spark.createDataFrame([(9, "")], "id int, h string")
+    assert {r.id for r in dedupe.append_new(batch, blank, "h", ["id"]).collect()} == {2, 3}
+    assert dedupe.find_duplicates(batch, "h").count() == 0
+    assert dedupe.first_by_hash(batch, "h", ["id"]).count() == 3
+
+
 def test_append_new_is_idempotent(hashed):
     first = dedupe.append_new(hashed, hashed.limit(0), "h", ["id"])
     assert first.count() == 8

@@ -4,10 +4,13 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
+from billsift.plans.oracles import oracle_sql
+from billsift.plans.queries import queries
 from check import compare, connect
 
-NO_SQL = {"scan_files", "type_gate"}
+NO_SQL = {"scan_files"}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +28,30 @@ def test_every_query_has_sql():
     assert set(oracle_sql()) <= set(queries())
 
 
+def test_registered_names():
+    assert set(queries()) <= set(__spark_entry__.queries())
+    assert set(oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def initial(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name, table", [
+    ("extract_record", "lineitem"), ("normalize_currency", "lineitem"), ("vendor_baseline", "orders"),
+    ("fold_pages", "conversations"), ("route_short_text", "conversations"),
+])
+def test_tables_are_scanned_once(spark, small, name, table):
+    text = initial(queries()[name](spark, small))
+    assert len(re.findall(rf"Location: [^\n]*/{table}\.parquet", text)) == (3 if name == "vendor_baseline" else 1)
+
+
+def test_every_document_has_an_error_row_or_a_record(spark, small):
+    every = queries()["extract_record"](spark, small).count()
+    assert queries()["error_rows"](spark, small).count() == every
+    assert queries()["vendor_baseline"](spark, small).count() == every
+
+
 def test_entry(spark):
     got = entry(spark)
     assert got.columns == ["doc_id", "grand_total", "items_sum", "reconciles"] and got.count() > 0
