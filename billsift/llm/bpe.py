@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -17,8 +18,14 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+# The same for texts of Latin-1 signs only, spelled out so that the faster engine can read them.
+LETTERS, NUMBERS, BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PIECES = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+"
+    rf"|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
 #: Distinct pieces remembered per task, and the longest one that is.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 500_000, 64
 
 
 def byte_signs() -> dict[str, int]:
@@ -56,7 +63,7 @@ class Codec:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") \
             if longest_first else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.latin = regex.compile(PIECES), re.compile(LATIN_PIECES)
         self.known = Known(self)
 
     def merge(self, data: bytes) -> list[int]:
@@ -87,13 +94,20 @@ class Codec:
                 heappush(queue, (found[0], h, symbols[h], new, found[1]))
         return [s for s in symbols if s >= 0]
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pieces.findall(text)
+        return self.latin.findall(text)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.marks is None or not self.marks.search(text):
-            return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
+            return b"".join(map(self.known.__getitem__, self.split(text)))
         return b"".join(
             self.special[part] if part in self.special else
-            b"".join(map(self.known.__getitem__, self.pieces.findall(part)))
+            b"".join(map(self.known.__getitem__, self.split(part)))
             for part in self.marks.split(text))
 
     def decode(self, ids: bytes) -> str:

@@ -36,6 +36,12 @@ def test_random_texts_match_the_library(codec, library):
     same(codec, library, ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(4000)])
 
 
+def test_latin_texts_match_the_library(codec, library):
+    rng = random.Random(4)
+    signs = [chr(i) for i in range(256)] + list("aé1 ' \n") * 20
+    same(codec, library, ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(6000)])
+
+
 def test_long_pieces_and_marks(codec, library):
     same(codec, library, ["", "a" * 5000, " " * 3000 + "x", "<|endoftext|>" * 3, "<|endoftext|",
                           "ab" * 4000 + "é" * 900, "1" * 3000, "-" * 2999, "\n" * 2000])
