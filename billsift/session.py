@@ -14,7 +14,8 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g",
+                  settings: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -24,7 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
