@@ -12,6 +12,8 @@ from .common import col, without
 
 #: Tokens of a block at most, about; exponents tried in a pass; passes (2^-40 of the exponent).
 BLOCK_TOKENS, TRIED, PASSES = 20_000, 32, 8
+#: Sources that may be broadcast (under 2 MB), parts of a source's rows beyond that.
+FEW, SALTS = 10_000, 64
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEED = "mix"
 
@@ -79,6 +81,20 @@ def plan(docs: DataFrame, tokens: str, key: str, budget: int | None = None,
                          F.when(F.col("n") > 0, rounds).otherwise(1.0).alias("rounds"))
 
 
+def with_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows with their source's plan.
+
+    Up to ``FEW`` sources are broadcast, their number is counted first. Beyond that
+    each source's plan is dealt to ``SALTS`` keys, so that a source with a third of all rows
+    is as many tasks.
+    """
+    if weights.count() <= FEW:
+        return rows.join(F.broadcast(weights), "_key")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)))
+    dealt = weights.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    return salted.join(dealt, ["_key", "_salt"]).drop("_salt")
+
+
 def order_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *parts).cast("binary"))
 
@@ -113,7 +129,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
     weights = cut(weights.select(
         "_key", digits.alias("_digits"), F.floor("rounds").cast("int").alias("_full"),
         F.round((F.col("rounds") - F.floor("rounds")) * F.col("n")).cast("long").alias("_rest")))
-    rows = rows.join(weights, "_key").withColumn("_block", F.substring(F.col("_hash"), F.lit(1), F.col("_digits")))
+    rows = with_weights(rows, weights).withColumn("_block", F.substring(F.col("_hash"), F.lit(1), F.col("_digits")))
 
     blocks = rows.where("_rest > 0").groupBy("_key", "_block", "_full", "_rest").agg(F.sum("_n").alias("b"))
     blocks = cut(blocks.withColumn("o", order_key(F.col("_key"), F.col("_full").cast("string"), F.col("_block")))

@@ -35,6 +35,13 @@ def test_repetition_limit_and_whole_sources(spark, monkeypatch):
     assert mixing.mix(docs, repeats=3.0).select("doc_id").distinct().count() == 4500
 
 
+def test_many_sources_give_the_same_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
+    few = Counter(mixing.mix(frame(spark), repeats=2.0).collect())
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert Counter(mixing.mix(frame(spark), repeats=2.0).collect()) == few
+
+
 def test_budget_and_entropy(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
     docs = frame(spark)
