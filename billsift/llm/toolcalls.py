@@ -24,17 +24,21 @@ def levels(calls: DataFrame) -> DataFrame:
     """
     ids = calls.where("call_id is not null").groupBy("call_id").agg(F.min("after").alias("after"))
     known = ids.select(F.col("call_id").alias("up"), F.lit(1).alias("step"))
-    at = ids.select("call_id", F.col("after").alias("up")).join(known, "up", "left").select(
+    at = ids.where("after is not null").select("call_id", F.col("after").alias("up")).join(known, "up", "left").select(
         "call_id", F.when(F.col("step") == 1, F.col("up")).alias("up"),
         F.coalesce("step", F.lit(0)).cast("long").alias("level"))
+    at = at.unionByName(ids.where("after is null").select(
+        "call_id", F.col("after").alias("up"), F.lit(0).cast("long").alias("level")))
     at = cut(at)
     rounds = ceil(log2(max(2, at.count()))) + 1
     for _ in range(rounds):
         if at.where("up is not null").isEmpty():
             break
         ahead = at.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        at = cut(at.join(ahead, "up", "left").select(
-            "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        # calls that have arrived stay out of the join, where they would all share the null key
+        moved = at.where("up is not null").join(ahead, "up").select(
+            "call_id", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        at = cut(at.where("up is null").unionByName(moved))
     return at.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
