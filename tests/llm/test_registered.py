@@ -1,0 +1,32 @@
+import pytest
+
+import __spark_entry__
+
+COLUMNS = {
+    "op1_mixing": ["doc_id", "source", "mix_epoch", "mix_key"],
+    "op2_suffixes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op3_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op4_toolcalls": ["call_id", "name", "level", "n_results", "problems", "status", "json"],
+    "op5_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op6_pivots": ["vec_id", "n_links", "component_id", "kept"],
+    "op7_langid": ["doc_id", "held_out", "lang_pred", "score"],
+    "op8_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+}
+
+
+def test_names():
+    names = set(__spark_entry__.queries())
+    assert set(COLUMNS) | {"pipeline"} <= names
+    assert {"op1_mixing", "op4_toolcalls"} <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_columns_and_types(spark, small, name):
+    df = __spark_entry__.queries()[name](spark, small)
+    assert df.columns == COLUMNS[name]
+    kinds = dict(df.dtypes)
+    assert kinds.get("predicted", "int") == "int" and kinds.get("n_links", "bigint") == "bigint"
+    assert {kinds[c] for c in df.columns if c.startswith(("n_", "doc_id"))} <= {"bigint"}
+    assert kinds.get("held_out", "boolean") == "boolean" and kinds.get("kept", "boolean") == "boolean"
