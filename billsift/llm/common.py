@@ -71,25 +71,29 @@ def add_columns(
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_label: int,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", most: int = 64,
 ) -> tuple[DataFrame, dict]:
     """(text, label) of at most ``per_label`` rows of each label, and each label's count.
 
+    Of more than ``most`` labels the most frequent are taken.
+
     A bounded sample to fit a model on: of the rows that ``allowed`` (on the
     id) leaves, those with the smallest hash of the id, so it does not depend on
     partitioning. Rows without id, label or document are no examples. The ids
-    come to the driver (``per_label`` a label, a bound free of the table's
-    size) and pick the texts in one scan without a shuffle; the caller reduces
-    each text before it collects.
+    come to the driver (``per_label`` for each of ``most`` labels, a bound free of the table's
+    size) and pick the texts in one scan, of rows that share an id the smallest; only
+    those are shuffled. The caller reduces each text before it collects.
     """
     rows = labels.select(col(doc_id).cast("long").alias("_id"), col(label).alias("_label")).dropna()
     rows = rows.withColumnRenamed("_id", doc_id).where(allowed).withColumnRenamed(doc_id, "_id")
-    counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
+    frequent = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(most)
+    counts = {r[0]: r[1] for r in frequent.collect()}
     chosen = []
     for value in sorted(counts):
         best = rows.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         chosen += [(r[0], value) for r in best.select("_id").distinct().collect()]
     kind = dict(rows.dtypes)["_label"]
     picked = docs.sparkSession.createDataFrame(chosen, f"_id long, _label {kind}")
-    own = docs.select(col(doc_id).cast("long").alias("_id"), col(text).alias("text"))
-    return own.join(F.broadcast(picked), "_id").select("_id", "text", F.col("_label").alias("label")), counts
+    own = docs.select(col(doc_id).cast("long").alias("_id"), F.coalesce(col(text), F.lit("")).alias("text"))
+    found = own.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text"))
+    return found.select("_id", "text", F.col("_label").alias("label")), counts

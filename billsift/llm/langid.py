@@ -186,8 +186,8 @@ def fit(docs: DataFrame, allowed: Column, label: str = "lang", doc_id: str = "do
     the driver. Without any labelled document the network knows no language
     and answers ``und``.
     """
-    sample, counts = labelled_sample(docs, docs, label, allowed, per_language, doc_id, text)
-    languages = sorted(sorted(counts, key=lambda n: (-counts[n], n))[:LANGUAGES])
+    sample, counts = labelled_sample(docs, docs, label, allowed, per_language, doc_id, text, LANGUAGES)
+    languages = sorted(counts)
 
     def cut(texts):
         out = []
@@ -199,8 +199,7 @@ def fit(docs: DataFrame, allowed: Column, label: str = "lang", doc_id: str = "do
 
     field = T.StructField("chunks", T.ArrayType(T.BinaryType()))
     rows = add_columns(sample, "text", [field], lambda: cut).select("_id", "label", "chunks").collect()
-    rows = sorted((r["_id"], r["label"], bytes(c)) for r in rows for c in r["chunks"]
-                  if r["label"] in languages)
+    rows = sorted((r["_id"], r["label"], bytes(c)) for r in rows for c in r["chunks"])
     if not rows:
         return Network([], [], [], np.zeros(0), np.zeros(0), [])
     data = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
