@@ -9,8 +9,9 @@ from billsift.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, partitions=8)
+def spark(tmp_path_factory):
+    warehouse = tmp_path_factory.mktemp("warehouse")
+    return local_session(8, partitions=8, settings={"spark.sql.warehouse.dir": f"file://{warehouse}"})
 
 
 @pytest.fixture(scope="session")
