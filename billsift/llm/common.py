@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -75,23 +75,30 @@ def labelled_sample(
 ) -> tuple[DataFrame, dict]:
     """(text, label) of at most ``per_label`` rows of each label, and each label's count.
 
-    Of more than ``most`` labels the most frequent are taken.
+    Every label is taken. More than ``most`` of them share the ``most * per_label``
+    rows evenly, with one row each at least.
 
     A bounded sample to fit a model on: of the rows that ``allowed`` (on the
     id) leaves, those with the smallest hash of the id, so it does not depend on
     partitioning. Rows without id, label or document are no examples. The ids
-    come to the driver (``per_label`` for each of ``most`` labels, a bound free of the table's
-    size) and pick the texts in one scan, of rows that share an id the smallest; only
+    come to the driver (``most * per_label``, or one for each label, a bound free of the table's
+    rows) and pick the texts in one scan, of rows that share an id the smallest; only
     those are shuffled. The caller reduces each text before it collects.
     """
     rows = labels.select(col(doc_id).cast("long").alias("_id"), col(label).alias("_label")).dropna()
     rows = rows.withColumnRenamed("_id", doc_id).where(allowed).withColumnRenamed(doc_id, "_id")
-    frequent = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(most)
-    counts = {r[0]: r[1] for r in frequent.collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     chosen = []
-    for value in sorted(counts):
-        best = rows.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
-        chosen += [(r[0], value) for r in best.select("_id").distinct().collect()]
+    if len(counts) <= most:
+        for value in sorted(counts):
+            best = rows.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
+            chosen += [(r[0], value) for r in best.select("_id").distinct().collect()]
+    else:
+        # one pass for many labels; each task passes on no more rows of a label than are wanted
+        share = max(1, most * per_label // len(counts))
+        order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+        best = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= min(per_label, share))
+        chosen = [tuple(r) for r in best.select("_id", "_label").distinct().collect()]
     kind = dict(rows.dtypes)["_label"]
     picked = docs.sparkSession.createDataFrame(chosen, f"_id long, _label {kind}")
     own = docs.select(col(doc_id).cast("long").alias("_id"), F.coalesce(col(text), F.lit("")).alias("text"))

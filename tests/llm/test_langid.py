@@ -1,8 +1,10 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from billsift.llm import langid
-from billsift.llm.common import in_bucket
+from billsift.llm.common import in_bucket, labelled_sample
 from billsift.llm.queries import op7_langid
 
 
@@ -61,3 +63,18 @@ def test_table_edges(spark):
     assert langid.identify(docs.limit(0), net).count() == 0
     blank = langid.fit(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.identify(docs, blank).collect()} == {"und"}
+
+
+def test_many_languages_are_all_learned(spark):
+    names = [f"l{n:02}" for n in range(70)]  # each writes with a sign of its own
+    rows = [(100 * n + k, f"{chr(97 + n % 26)}{chr(65 + n // 26)} " * 60, name, k) for n, name in enumerate(names)
+            for k in range(40 if n < 64 else 36)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k int")
+    sample, counts = labelled_sample(docs, docs, "lang", F.lit(True), 6, most=35)
+    taken = Counter(r.label for r in sample.collect())
+    assert sorted(counts) == names and taken == {name: 3 for name in names}
+    net = langid.fit(docs, F.col("doc_id") % 100 > 0)
+    assert net.languages == names
+    got = langid.identify(docs.where("k = 0"), net).collect()
+    rare = [r for r in got if r.lang >= "l64"]
+    assert len(rare) == 6 and sum(r.lang == r.lang_pred for r in rare) >= 5
