@@ -37,7 +37,11 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_toolcalls(spark: SparkSession, folder: str) -> DataFrame:
-    """Every turn of ``conversations`` as a call or a result."""
+    """The user's and assistant's turns of ``conversations`` as calls and results.
+
+    Turns of any other or a null role (system prompts) neither call nor answer; they
+    have no row here, as in the SQL.
+    """
     calls, results = toolcalls.from_turns(table(spark, folder, "conversations"))
     return toolcalls.link(calls, results, toolcalls.SCHEMAS)
 

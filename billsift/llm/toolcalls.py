@@ -117,7 +117,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of chat turns: a user's turn calls ``reply``, an assistant's answers the turn before.
 
-    A user's turn follows the user's turn two before it.
+    A user's turn follows the user's turn two before it. Turns of any other or a null role are
+    neither and are left out.
     """
     def name(back: int) -> Column:
         return F.concat(F.lit("c"), col("conv_id").cast("string"), F.lit("."), (col("turn") - back).cast("string"))
