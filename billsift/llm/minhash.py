@@ -108,7 +108,7 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, doc_id: str, carried: list[str], make, buckets: int) -> DataFrame:
     """Append ``next_<c>`` of the row that follows in id order; the last row's is the first's.
 
-    Ids are cut into ranges at values of their own (approximate quantiles), and
+    Ids are cut into ranges at values of their own (the first from each approximate quantile on), and
     each range is a window partition. The row that begins the next range is
     added to each as a guest, so no row is ever looked up across ranges and
     the table is shuffled once. ``make`` derives columns before the shuffle.
@@ -117,6 +117,11 @@ def with_next(df: DataFrame, doc_id: str, carried: list[str], make, buckets: int
     shares = [(i + 1) / buckets for i in range(buckets - 1)]
     low, bounds = df.select(F.min(doc_id), F.percentile_approx(doc_id, shares)).first()
     bounds = sorted({b for b in bounds or [] if b > low})
+    if bounds:
+        # quantiles go through doubles: each range begins at the smallest id that really stands in it
+        place = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= col(doc_id)))
+        begun = df.where(col(doc_id).isNotNull()).groupBy(place.alias("_home")).agg(F.min(doc_id).alias("b"))
+        bounds = sorted(r["b"] for r in begun.collect() if r["b"] > low)
     last = len(bounds)
     edges = F.lit(bounds).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
     home = F.when(col(doc_id).isNull(), last).otherwise(F.size(F.filter(edges, lambda b: b <= col(doc_id))))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -51,6 +52,14 @@ def test_next_across_ranges(spark, buckets):
     assert {r.text: r.next_text for r in out} == dict(zip(order, order[1:] + order[:1]))
 
 
+def test_next_across_ranges_of_large_ids(spark):
+    rng = random.Random(4)
+    ids = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)})
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    out = minhash.with_next(df, "doc_id", ["text"], lambda d: d, 16).collect()
+    assert {r.doc_id: r.next_text for r in out} == dict(zip(ids, map(str, ids[1:] + ids[:1])))
+
+
 def test_table_edges(spark):
     rows = [(1, None, 3), (2, "", 4), (3, "a b", 5), (3, "a b", 6), (4, "x " * 30000, 7), (None, "é😀 wort", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")
