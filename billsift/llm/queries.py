@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, pivots, quality, simhash, suffixes, toolcalls, toxicity
+from ..session import shared_dir
+from . import (
+    alignment, bpe, langid, minhash, mixing, negatives, packing, pivots, quality, simhash, suffixes, toolcalls, toxicity)
 from .common import in_bucket, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Put after each document in the files of op13.
+END = 2
 
 
 #: Times a source may be repeated in the mix of op1.
@@ -87,6 +92,28 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, VOCABULARY, PIECE_MODEL, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 50th vector as anchor; every 7th has its label moved on."""
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of packed ids, written and read back."""
+    path = shared_dir(spark, "ids")
+    packing.write(table(spark, folder, "documents").select("doc_id", "text"), path, VOCABULARY, END)
+    rows = packing.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return rows.join(packing.file_starts(spark, path), ["shard", "number"]).select(
+        "doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

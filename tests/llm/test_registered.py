@@ -13,6 +13,9 @@ COLUMNS = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_packing": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
