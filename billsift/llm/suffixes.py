@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,7 +21,8 @@ HOT, COLLECTION = 4096, 2000
 #: Bytes worked on at once in a task; longer texts are read in overlapping parts.
 BLOCK = 1 << 19
 NO_ID = (1 << 63) - 1
-START_BITS = 41
+#: A string's place: its text's number among those of one id, then its start.
+START_BITS = 32
 DUP, SHIP, SPLIT = 0, 1, 2
 
 _rng = np.random.default_rng(100)
@@ -323,13 +323,8 @@ def packed(found: Iterator[tuple[int, int, bytes]]) -> pa.Table:
                                 schema=OUT_ARROW)
 
 
-def place_of(data: bytes) -> int:
-    """What orders rows of one id with different texts, above the bits of a start."""
-    return (zlib.crc32(data) & ((1 << (63 - START_BITS)) - 1)) << START_BITS
-
-
 def scan(places: int):
-    """Ask for all pieces of a batch of (id, home, text)."""
+    """Ask for all pieces of a batch of (id, home, number, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -349,9 +344,9 @@ def scan(places: int):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, home, text = (batch.column(k)[i].as_py() for k in range(3))
+                doc, home, number, text = (batch.column(k)[i].as_py() for k in range(4))
                 data = (text or "").encode()
-                place = place_of(data)
+                place = number << START_BITS
                 for at in range(0, max(0, len(data) - WIDTH + 1), BLOCK):
                     part = data[at:at + BLOCK + WIDTH - 1]
                     if size + len(part) > BLOCK + WIDTH and held:
@@ -367,9 +362,8 @@ def scan(places: int):
 
 def by_key(table: pa.Table) -> dict[tuple[int, int], bytes]:
     out = {}
-    for doc, text in zip(table.column("_id").to_pylist(), table.column("_text").to_pylist(), strict=True):
-        data = (text or "").encode()
-        out[NO_ID if doc is None else doc, place_of(data)] = data
+    for doc, number, text in zip(*(table.column(c).to_pylist() for c in ("id", "number", "text")), strict=True):
+        out[NO_ID if doc is None else doc, number << START_BITS] = (text or "").encode()
     return out
 
 
@@ -446,7 +440,7 @@ def spans(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)])
 
 
-def carve(fields: list[str], names: list[str]):
+def carve():
     """Cut the repeats out of each text of a home."""
     mask = (1 << START_BITS) - 1
 
@@ -460,9 +454,9 @@ def carve(fields: list[str], names: list[str]):
         edges = [0, *cuts.tolist(), len(doc)]
         own = {(int(doc[b]), int(text_place[b])): (b, e) for b, e in zip(edges, edges[1:]) if e > b}
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for i, t in zip(docs.column("_id").to_pylist(), docs.column("_text").to_pylist(), strict=True):
+        for i, number, t in zip(*(docs.column(c).to_pylist() for c in ("id", "number", "text")), strict=True):
             data = (t or "").encode()
-            b, e = own.get((NO_ID if i is None else i, place_of(data)), (0, 0))
+            b, e = own.get((NO_ID if i is None else i, number << START_BITS), (0, 0))
             runs = spans(len(data), pos[b:e] & mask, length[b:e]) if e > b else np.zeros((0, 2), np.int64)
             edge = [0, *runs.ravel().tolist(), len(data)]
             kept.append(b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2])))
@@ -471,12 +465,37 @@ def carve(fields: list[str], names: list[str]):
             n_removed.append(len(data) - len(kept[-1]))
         made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
                 pa.array(kept, pa.binary())]
-        return pa.Table.from_arrays([*(docs.column(c) for c in fields), *made],
-                                    names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.Table.from_arrays([docs.column("own"), docs.column("text"), *made],
+                                    names=["own", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Append ``number``: 0, or the place of a text among the different texts of its id.
+
+    Texts are told apart and ordered by 128 bits of hash. Only ids with several texts are
+    numbered, in parts by the beginning of the hash, so an id that many texts share is many groups.
+    """
+    marked = df.select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
+    several = cut(marked.groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select(
+        F.col("id").alias("own_id")))
+    if several.isEmpty():
+        return df.withColumn("number", F.lit(0).cast("long"))
+    marks = marked.distinct().join(several, F.col("id").eqNullSafe(F.col("own_id")), "left_semi").withColumn(
+        "part", F.substring("mark", 1, 3))
+    ahead = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = marks.groupBy("id", "part").agg(F.count("*").alias("n")).select(
+        F.col("id").alias("own_id"), F.col("part").alias("own_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("id", "part").orderBy("mark"))
+    numbers = marks.withColumn("place", place).join(
+        parts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("part") == F.col("own_part"))).select(
+        "own_id", F.col("mark").alias("own_mark"), (F.col("before") + F.col("place") - 1).cast("long").alias("number"))
+    whole = df.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
+    return whole.join(numbers, same, "left").select(*df.columns, F.coalesce("number", F.lit(0)).cast("long").alias("number"))
+
+
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int | None = None) -> DataFrame:
     """Remove each byte covered by a string of 100 bytes that also starts earlier.
 
@@ -495,26 +514,28 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     strings. An anchor with over ``HOT`` different pieces is dealt out again by
     the strings themselves, exactly. Texts travel to their home once.
 
-    Null texts count as empty. Rows without an id come after all others. Rows
-    of one id with different texts are ordered by a checksum of the text, equal
-    rows are one document and lose the same bytes. An empty table gives
-    an empty one.
+    Null texts count as empty. Rows without an id come after all others. Rows of one id (or
+    without one) with different texts are told apart and ordered by 128 bits of hash; equal rows are one document and
+    lose the same bytes. Long texts are read in overlapping parts. Columns may bear any names. An
+    empty table gives an empty one.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     homes, places = homes or 4 * parts, parts
     out = ["n_bytes", "n_removed", "n_spans", "kept"]
-    base = without(df, out)
-    names = base.columns
-    keyed = base.withColumns({"_id": col(doc_id).cast("long"), "_text": col(text), "_home": F.pmod(
-        F.xxhash64(col(doc_id).cast("long"), F.crc32(F.coalesce(col(text), F.lit("")))), F.lit(homes))})
-    asks = keyed.select("_id", "_home", "_text").mapInArrow(scan(places), OUT)
+    names = without(df, out).columns
+    # the caller's columns travel as one, so that none can clash with ours
+    own = F.struct(F.lit(0).alias("_"), *[col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text])
+    keyed = numbered(df.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"), own.alias("own")))
+    keyed = keyed.withColumn("home", F.pmod(F.xxhash64("id", "number"), F.lit(homes)))
+    asks = keyed.select("id", "home", "number", "text").mapInArrow(scan(places), OUT)
     told = cut(asks.groupBy("place").applyInArrow(answer, OUT))
-    short = keyed.select("_id", "_text", "_home", *[col(c) for c in names if c != text])
-    sent = short.groupBy("_home").cogroup(told.groupBy("place")).applyInArrow(send(places), OUT)
+    sent = keyed.select("id", "home", "number", "text").groupBy("home").cogroup(told.groupBy("place")).applyInArrow(
+        send(places), OUT)
     late = sent.groupBy("place").applyInArrow(resolve, OUT)
     all_told = told.where(F.col("mode") == DUP).union(late)
-    schema = T.StructType([*base.schema, *[T.StructField(n, T.LongType()) for n in out[:3]],
+    schema = T.StructType([keyed.schema["own"], keyed.schema["text"], *[T.StructField(n, T.LongType()) for n in out[:3]],
                            T.StructField("kept", T.BinaryType())])
-    source = ["_text" if c == text else c for c in names]
-    return short.groupBy("_home").cogroup(all_told.groupBy("place")).applyInArrow(carve(source, names), schema)
+    cleared = keyed.groupBy("home").cogroup(all_told.groupBy("place")).applyInArrow(carve(), schema)
+    return cleared.select(*[(F.col("text") if c == text else F.col("own").getField(f"c{i}")).alias(c)
+                            for i, c in enumerate(names)], *out)

@@ -93,3 +93,51 @@ def test_table_edges(spark):
     assert got == [(3, text, 300, 0, data), (3, text, 300, 0, data), (9, "short", 5, 0, b"short"), (99, text, 300, 300, b"")]
     assert out.count() == 6
     assert suffixes.dedup(df.limit(0)).count() == 0
+
+
+def one_by_one(rows):
+    """Kept bytes of each (id, text): texts of one id in the order of their hashes, rows without an id last."""
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (
+        r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    marks = plain([(n, t) for n, (_, t) in enumerate(order)])
+    return {order[n]: bytes(np.frombuffer(data, np.uint8)[~gone]) for n, data, gone in marks}
+
+
+def dedup_pairs(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r.doc_id, r.text or "", bytes(r.kept)) for r in suffixes.dedup(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_id_whose_checksums_agree(spark, doc_id):
+    import zlib
+    seen, rng = {}, random.Random(21)
+    while True:
+        text = "".join(rng.choices("abcdefgh ", k=160))
+        other = seen.setdefault(zlib.crc32(text.encode()) & ((1 << 22) - 1), text)
+        if other != text:
+            break
+    shared = "".join(rng.choices("klmnopq ", k=130))
+    rows = [(doc_id, text + shared), (doc_id, other + shared), (doc_id, text), (doc_id, other), (3, shared + "x"),
+            (doc_id, text), (4, None), (doc_id, None), (doc_id, "")]
+    want = one_by_one(rows)
+    assert dedup_pairs(spark, rows) == sorted(((i, t or "", want[i, t or ""]) for i, t in rows), key=str)
+
+
+def test_many_texts_without_an_id(spark):
+    rng = random.Random(22)
+    common = ["".join(rng.choices("abcdef ", k=120)) for _ in range(40)]
+    rows = [(None, f"{n} {rng.choice(common)} {n * 7}") for n in range(20_000)]
+    want = one_by_one(rows)
+    assert dedup_pairs(spark, rows) == sorted(((i, t, want[i, t]) for i, t in rows), key=str)
+
+
+def test_any_column_names(spark):
+    names = ["id", "home", "number", "own", "text", "place", "mode", "rows", "mark", "_", "c0", "a.b"]
+    shared = "shared words " * 12
+    df = spark.createDataFrame([(1, shared + "one", *range(len(names))), (2, shared, *range(len(names)))],
+                               ["doc_id", "body", *names])
+    rows = sorted(suffixes.dedup(df, text="body").collect())
+    assert [tuple(r)[2:-4] for r in rows] == [tuple(range(len(names)))] * 2
+    assert rows[0].asDict().keys() == {"doc_id", "body", *names, "n_bytes", "n_removed", "n_spans", "kept"}
+    assert rows[1].n_removed == len(shared)
