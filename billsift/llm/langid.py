@@ -216,6 +216,12 @@ def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     Ties go to the language first in the alphabet; equal texts get equal
     answers. No shuffle; the network (under 200 kB, and 100 bytes a language) travels with the tasks.
     """
-    sent = df.sparkSession.sparkContext.broadcast(net)
+    # plain arrays: workers need no copy of this package to read them
+    sent = df.sparkSession.sparkContext.broadcast(vars(net))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return add_columns(df, text, fields, lambda: lambda texts: predict(sent.value, texts))
+
+    def make():
+        net = Network(**sent.value)
+        return lambda texts: predict(net, texts)
+
+    return add_columns(df, text, fields, make)

@@ -193,6 +193,11 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -
     Equal texts have equal scores. A column named ``out`` is replaced. No
     shuffle; the network (under 200 kB) travels with the tasks.
     """
-    sent = df.sparkSession.sparkContext.broadcast(net)
-    return add_columns(df, text, [T.StructField(out, T.DoubleType())],
-                       lambda: lambda texts: [score_texts(sent.value, texts)])
+    # plain arrays: workers need no copy of this package to read them
+    sent = df.sparkSession.sparkContext.broadcast(vars(net))
+
+    def make():
+        net = Network(**sent.value)
+        return lambda texts: [score_texts(net, texts)]
+
+    return add_columns(df, text, [T.StructField(out, T.DoubleType())], make)

@@ -184,10 +184,11 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     have equal scores. A column named ``out`` is replaced. No shuffle; the model
     (at most ``ENTRIES`` words) travels with the tasks.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # plain arrays and lists: workers need no copy of this package to read them
+    sent = df.sparkSession.sparkContext.broadcast(vars(model))
 
     def make():
-        model = sent.value
+        model = Model(**sent.value)
         finder = Finder(model.entries)
 
         def compute(texts):
