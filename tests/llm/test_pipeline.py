@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 from billsift.llm import quality
 from billsift.llm.common import in_bucket
 
-from test_simhash import plain_classes, plain_fingerprint
+from test_nearcopies import plain_tops
 from test_suffixes import plain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,7 +45,7 @@ def test_quality_filter(spark, small, outputs):
 
 def test_near_copies(outputs):
     rows = sorted(outputs[0].collect(), key=lambda r: r.doc_id)
-    tops = plain_classes([plain_fingerprint(r.text) for r in rows])
+    tops = plain_tops([r.text for r in rows])
     assert sorted(outputs[1].collect()) == sorted(r for i, r in enumerate(rows) if tops[i] == i)
 
 
