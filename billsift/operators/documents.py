@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,28 +109,45 @@ def prepare(docs: DataFrame, text: str = "raw_text", fallback: str = "fallback_t
     return routed.withColumn(text, normalize_currency(F.col(text)))
 
 
-def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
-    """Hook for any page-text extractor over ``binaryFile`` rows.
+def extract_pages(files: DataFrame, extractor: Callable[[bytes], Iterable[str]],
+                  batch_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Hook for any page-text extractor over ``binaryFile`` rows, in Arrow batches.
 
-    Each file's pages leave as soon as it is read. A file that the extractor
-    cannot read, or that came with a reason, becomes one row with a reason, and
-    the batch goes on. A task holds one Arrow batch of contents: with large
-    files lower ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    A file's pages leave together; batches are closed at ``batch_bytes`` of text, so a
+    task holds one file's pages and one batch. Contents come in batches that Spark bounds by
+    ``spark.sql.execution.arrow.maxBytesPerBatch``. A file that the extractor
+    cannot read, at whatever page, or that came with a reason, becomes one row with a reason, and
+    the others go on. A file without pages has no row.
     """
     reason = F.col(ERROR) if ERROR in files.columns else F.lit(None).cast("string")
+    schema = pa.schema([("path", pa.string()), ("page_no", pa.int32()), ("page_text", pa.string()), (ERROR, pa.string())])
+
+    def pages(path: str, content: bytes, refused: str | None) -> list[tuple]:
+        if refused is not None:
+            return [(path, None, None, refused)]
+        try:
+            return [(path, n, text, None) for n, text in enumerate(extractor(content), 1)]
+        except Exception as failure:  # any file may be broken in any way
+            return [(path, None, None, type(failure).__name__)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def closed() -> pa.RecordBatch:
+            columns = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content, refused in zip(batch["path"], batch["content"], batch[ERROR]):
-                if isinstance(refused, str):
-                    rows = [(path, None, None, refused)]
-                else:
-                    try:
-                        rows = [(path, n, t, None) for n, t in enumerate(extractor(content), 1)]
-                    except Exception as failure:  # any file may be broken in any way
-                        rows = [(path, None, None, type(failure).__name__)]
-                yield pd.DataFrame(rows, columns=["path", "page_no", "page_text", ERROR])
-
-    return files.select("path", "content", reason.alias(ERROR)).mapInPandas(
-        run, "path string, page_no int, page_text string, error_reason string"
-    )
+            for n in range(batch.num_rows):  # one file's bytes at a time
+                for row in pages(*(batch.column(k)[n].as_py() for k in range(3))):
+                    rows.append(row)
+                    size += len(row[2] or "") + 64
+                    if size >= batch_bytes:
+                        yield closed()
+                        rows, size = [], 0
+        if rows:
+            yield closed()
+
+    return files.select("path", "content", reason.alias(ERROR)).mapInArrow(
+        run, "path string, page_no int, page_text string, error_reason string")

@@ -127,3 +127,18 @@ def column_widths(df: DataFrame, cap: int = K.WIDTH_CAP) -> DataFrame:
         for i, c in enumerate(names)
     ])
     return longest.select(F.explode(entry).alias("e")).select("e.*")
+
+
+def status_rollup(records: DataFrame, hash_col: str, group: str = "vendor_name") -> DataFrame:
+    """Documents, different documents and copies by (group, status), by group and in all.
+
+    Copies are cut to one row per group, status and hash in each task first; a document
+    counts once on every level, in whatever groups it stands. Rows without a hash are documents of their
+    own. ``level`` is 0 for a pair, 1 for a group, 3 for all.
+    """
+    per_hash = records.groupBy(group, "status", hash_col).agg(F.count("*").alias("n"))
+    alone = F.sum(F.when(F.col(hash_col).isNull(), F.col("n")).otherwise(0))
+    counted = per_hash.rollup(group, "status").agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n_documents"),
+        (F.count_distinct(hash_col) + alone).alias("n_different"))
+    return counted.withColumn("n_copies", F.col("n_documents") - F.col("n_different"))

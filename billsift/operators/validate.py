@@ -26,6 +26,26 @@ def reconcile_totals(typed: DataFrame, tol: Decimal | str = "0.00") -> DataFrame
     return summed.withColumn("reconciles", gap <= F.lit(str(tol)).cast(SUM))
 
 
+def reconcile_long(items: DataFrame, headers: DataFrame, key: str, amount: str = "amount",
+                   total: str = "grand_total", tol: Decimal | str = "0.00") -> DataFrame:
+    """Items as a table of their own against the totals of their headers.
+
+    Items are summed by key in each task before they meet, so a header with
+    millions of items is a row per task. Headers without items and items without a header
+    stay: ``side`` is ``both``, ``no items`` or ``no header``. Rows without a key meet nothing.
+    ``reconciles`` is null where a side or the total is missing.
+    """
+    sums = items.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("n_items"), F.sum(F.col(amount).cast(SUM)).cast(SUM).alias("items_sum"))
+    found = headers.join(sums, F.col(key) == F.col("_key"), "full_outer")
+    side = F.when(F.col("n_items").isNull(), "no items").when(
+        F.col("_key").isNotNull() & F.col(key).isNotNull(), "both").otherwise("no header")
+    gap = F.abs(F.col("items_sum") - F.col(total))
+    return found.select(
+        F.coalesce(key, "_key").alias(key), total, F.coalesce("n_items", F.lit(0)).alias("n_items"), "items_sum",
+        side.alias("side"), (gap <= F.lit(str(tol)).cast(SUM)).alias("reconciles"))
+
+
 def tax_check(typed: DataFrame, tol: Decimal | str = "0.01") -> DataFrame:
     """Does each tax amount equal subtotal x rate, within the tolerance?"""
 

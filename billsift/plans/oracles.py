@@ -8,6 +8,7 @@ with another regex engine.
 from __future__ import annotations
 
 from billsift import constants as K
+from billsift.plans import stores, strict
 from billsift.schemas import RECORD_COLUMNS, STORE_EXPORT, record_columns
 
 WS = "'" + K.WHITESPACE + "'"
@@ -655,4 +656,4 @@ def oracle_sql() -> dict[str, str]:
         "stream_status": truth("""
             SELECT CASE WHEN failed THEN 'ERROR' ELSE 'PROCESSED' END AS status,
               count(*) AS n_documents FROM d GROUP BY 1"""),
-    }
+    } | strict.oracle_sql(BASE) | stores.oracle_sql(truth)

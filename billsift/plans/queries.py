@@ -24,6 +24,7 @@ from billsift.operators.records import (
     with_items,
     with_lines,
 )
+from billsift.plans import stores, strict
 from billsift.plans.invoices import (
     invoice_text,
     prepared_invoices,
@@ -639,4 +640,4 @@ def queries() -> dict[str, Query]:
         "stream_dedupe": stream_dedupe,
         "stream_store": stream_store,
         "stream_status": stream_status,
-    }
+    } | strict.queries() | stores.queries()

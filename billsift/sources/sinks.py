@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from billsift.operators.candidates import non_blank
 from billsift.operators.dedupe import append_new, first_by_hash
 from billsift.operators.store import store_export
 from billsift.schemas import RECORD_COLUMNS
-from billsift.session import materialize
+from billsift.sources.committed import Folder
 
 
 def sanitize(df: DataFrame) -> DataFrame:
@@ -28,19 +30,32 @@ def export_view(records: DataFrame, sanitized: bool = True, keys: tuple[str, ...
 
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str) -> int:
-    """Write computed rows and return their number; no rows leave the target as it was.
+    """Write rows once and return their number; no rows leave the target as it was.
 
-    The rows are computed once, counted on the way into the scratch folder, and
-    copied from there.
+    The rows are counted on their way into a folder beside the target, which then
+    takes the target's place (``overwrite``) or gives it its files (``append``).
     """
-    seen = Observation()
-    rows = materialize(df.observe(seen, F.count("*").alias("n")), "export")
-    if seen.get["n"]:
-        writer = rows.write.mode(mode).format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True).option("escape", '"')
-        writer.save(path)
-    return seen.get["n"]
+    spark, seen = df.sparkSession, Observation()
+    path = path.rstrip("/")
+    staged = f"{path}._staged-{uuid.uuid4().hex}"
+    writer = df.observe(seen, F.count("*").alias("n")).write.format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True).option("escape", '"')
+    writer.save(staged)
+    n, folder = seen.get["n"], Folder(spark, staged)
+    target = folder.at(path)
+    if n and mode == "overwrite":
+        old = f"{path}._old-{uuid.uuid4().hex}"
+        if folder.system.exists(target):
+            folder.rename(path, old)
+        folder.rename(staged, path)
+        folder.system.delete(folder.at(old), True)
+    elif n:
+        for name in folder.names():
+            if not name.startswith(("_", ".")):
+                folder.rename(f"{staged}/{name}", f"{path}/{name}")
+    folder.system.delete(folder.root, True)
+    return n
 
 
 def export_records(records: DataFrame, path: str, fmt: str = "csv", sanitized: bool = True,
