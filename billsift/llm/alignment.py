@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut, shared_dir
 from .common import SLICE_ROWS, col, without
-from .tokens import Encoder, token_bytes
+from .tokens import Encoder, met, token_bytes
 
 #: Most pairs of ids whose counts are sent to every task; all others meet theirs in a join.
 SENT = 1 << 18
@@ -132,7 +132,7 @@ def tokenize(df: DataFrame, text: str, vocabulary: str, model: str, kinds: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, model = sent.value
-        first, first_bytes = Encoder(spec, marks=False), token_bytes(spec)
+        first, first_bytes = Encoder(spec, False, met(spec, False)), token_bytes(spec)
         second = Pieces(model)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SLICE_ROWS, col
-from .tokens import Encoder, vocabulary_size
+from .tokens import Encoder, met, vocabulary_size
 
 # The file format. Numbers are unsigned and big-endian unless said.
 #   8 bytes  magic
@@ -27,7 +27,7 @@ MAGIC = b"BITIDS01"
 HEAD = np.dtype([("magic", "S8"), ("width", ">u4"), ("block", ">u4"), ("shard", ">u4"), ("number", ">u4"),
                  ("docs", ">u8"), ("ids", ">u8"), ("blocks", ">u8")])
 #: Ids of a block; a file is closed once it holds this many ids.
-BLOCK, FILE_IDS = 1 << 14, 1 << 22
+BLOCK, FILE_IDS = 1 << 14, 1 << 21
 
 
 def bits_for(size: int) -> int:
@@ -124,7 +124,7 @@ def write(df: DataFrame, path: str, vocabulary: str, end: int | None = None,
     last = np.array([] if end is None else [end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(sent.value, marks=True), TaskContext.get().partitionId()
+        encoder, shard = Encoder(sent.value, True, met(sent.value, True)), TaskContext.get().partitionId()
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         size, number = 0, 0

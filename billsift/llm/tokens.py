@@ -5,24 +5,40 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
+import zlib
 
 import numpy as np
 import regex
 
-from .bpe import LATIN_PIECES, LONGEST, MEMORY, PIECES, byte_signs
+from .bpe import LATIN_PIECES, LONGEST, PIECES, byte_signs
+
+#: Distinct pieces remembered by a task.
+MEMORY = 300_000
+
+
+def met(spec: str, marks: bool) -> dict[str, bytes]:
+    """The pieces that this worker process has met in its tasks so far, for an ``Encoder``.
+
+    Code that travels with a task has no globals that outlast it; the process's table of modules
+    does. Losing it costs time only.
+    """
+    home = sys.modules.setdefault("_pieces_met", types.ModuleType("_pieces_met"))
+    return vars(home).setdefault(f"{zlib.crc32(spec.encode())}-{marks}", {})
 
 
 class Encoder:
     """The ids that the public library gives, as little-endian unsigned 32-bit integers.
 
     A byte-level vocabulary cuts a text into pieces that never share a token, so each
-    distinct piece goes to the library once; ``MEMORY`` short ones are remembered. With
-    ``marks``, special tokens written in a text become their ids, as in the library;
+    distinct piece goes to the library's model once; ``MEMORY`` short ones are remembered (in ``known``,
+    where one is given). With ``marks``, special tokens written in a text become their ids, as in the library;
     without, their strings are plain text. A vocabulary that cuts in another way is
     encoded text by text.
     """
 
-    def __init__(self, spec: str, marks: bool):
+    def __init__(self, spec: str, marks: bool, known: dict[str, bytes] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -39,7 +55,10 @@ class Encoder:
         contents = sorted((t["content"] for t in added), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, contents)) + ")") if contents else None
         self.pieces, self.latin = regex.compile(PIECES), re.compile(LATIN_PIECES)
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.signs = {byte: sign for sign, byte in byte_signs().items()}
+        self.known = {} if known is None else known
+        self.known.update((t["content"], int(t["id"]).to_bytes(4, "little")) for t in added)
 
     def split(self, text: str) -> list[str]:
         if self.marks is not None and self.marks.search(text):
@@ -58,23 +77,32 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def ask_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The same for pieces, which the library's model need not cut again."""
+        ids: list[int] = []
+        cut = [0]
+        for piece in pieces:
+            signs = piece.encode().decode("latin-1").translate(self.signs)
+            ids += [token.id for token in self.model.tokenize(signs)]
+            cut.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        return [data[b:e] for b, e in zip(cut, cut[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.ask(texts)
-        cut = [self.split(t) for t in texts]
-        wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > MEMORY:
-            self.known = {}
-        new = list(wanted - self.known.keys())
-        known = dict(zip(new, self.ask(new), strict=True)) if new else {}
-        if any(len(p) > LONGEST for p in new):  # used now, not remembered
-            kept = {p: i for p, i in known.items() if len(p) <= LONGEST}
-            self.known.update(kept)
-            known |= self.known
-        else:
-            self.known.update(known)
-            known = self.known
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        out = []
+        for text in texts:
+            pieces = self.split(text)
+            ids = list(map(self.known.get, pieces))
+            if None in ids:
+                new = list({p for p, i in zip(pieces, ids) if i is None})
+                found = dict(zip(new, self.ask_pieces(new), strict=True))
+                ids = [found[p] if i is None else i for p, i in zip(pieces, ids)]
+                room = max(0, MEMORY - len(self.known))  # frequent pieces come early and stay
+                self.known.update((p, found[p]) for p in new[:room] if len(p) <= LONGEST)
+            out.append(b"".join(ids))
+        return out
 
 
 def vocabulary_size(spec: str) -> int:
