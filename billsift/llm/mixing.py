@@ -114,14 +114,17 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
 
     Null and empty texts have no tokens and go with their block. A null source
     is a source of its own; rows without an id share a block of their source.
-    Repeated rows are rows like others. A source without tokens passes once.
+    Repeated rows are rows like others. A source without tokens passes once. Long texts are counted
+    where they lie. Columns may bear any names.
     An empty table gives an empty one.
     """
     base = without(df, ["mix_epoch", "mix_key"])
-    rows = base.withColumns({
-        "_key": source_key(col(source)), "_hash": F.md5(F.coalesce(
-            col(doc_id).cast("string"), F.lit("")).cast("binary")),
-        "_n": F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")})
+    # the caller's columns travel as one, so that none can clash with ours
+    own = F.struct(F.lit(0).alias("_"), *[col(c).alias(f"c{i}") for i, c in enumerate(base.columns)])
+    rows = base.select(
+        own.alias("own"), source_key(col(source)).alias("_key"),
+        F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("_hash"),
+        F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_n"))
     weights = plan(rows.select("_key", "_n"), "_n", "_key", budget, repeats, entropy)
     digits = F.lit(0)
     for power in range(12):
@@ -146,7 +149,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
     epochs = F.col("_full") + F.coalesce("_more", F.lit(0))
     rows = rows.where(epochs > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     key = order_key(F.col("_key"), F.col("mix_epoch").cast("string"), F.col("_block"))
-    return rows.select(*[col(c) for c in base.columns], "mix_epoch",
+    return rows.select(*[F.col("own").getField(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "mix_epoch",
                        F.concat(key, F.lit("-"), "_hash").alias("mix_key"))
 
 

@@ -64,3 +64,38 @@ def test_table_edges(spark):
                          + [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)]
                          + [(11, 1, 11, True), (11, 1, 11, True), (0, 0, None, False)])
     assert pivots.link(df.limit(0)).count() == 0
+
+
+def shared_direction(n, strength, seed):
+    """Vectors with a common direction; a fifth are near copies of others, down to the limit."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64)) / 8
+    v[:, 0] += strength
+    m = n // 5
+    v[n - m:] = v[rng.integers(0, n - m, m)] + rng.normal(size=(m, 64)) / 8 * rng.uniform(
+        0, 0.32 * np.sqrt(1 + strength ** 2), (m, 1))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("strength", [1.0, 1.5])
+def test_common_direction_is_no_comparison_of_all_pairs(spark, strength):
+    v = shared_direction(4000, strength, 3)
+    index = pivots.Index(v.tolist(), 0.95)
+    assert len(index.pivots) == pivots.PIVOTS and index.middle.any()
+    near = np.argsort(-(index.turned(v) @ index.pivots.T), axis=1)[:, :index.listed]
+    lists = np.bincount((near[:, :, None] * pivots.PIVOTS + near[:, None, :])[:, ~np.eye(index.listed, dtype=bool)].ravel())
+    assert (lists.astype(float) ** 2).sum() / 4 < 0.03 * 4000 ** 2 / 2
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in pivots.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= n for i, (n, _) in want.items())
+    assert sum(got.values()) >= 0.95 * sum(n for n, _ in want.values()) > 300
+
+
+def test_direction_too_strong_to_take_off_stays(spark):
+    v = shared_direction(600, 3.0, 4)
+    assert not pivots.Index(v.tolist(), 0.95).middle.any()
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in pivots.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.99 * sum(n for n, _ in want.values())
