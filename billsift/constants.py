@@ -76,9 +76,10 @@ EMAIL_ONCE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 )
 # Of a run of digits only its start or its last three can begin the leftmost
-# match, and no group of three after a comma, as the group before it would.
+# match, and no group of three after a comma, as the group before it would. The
+# look at the first sign spares all others for most places.
 AMOUNT_ONCE = (
-    r"(?:\G|(?<!\d)|(?=\d{3}(?!\d)))(?:(?<=\G,)|(?!(?<=\d,)\d{3}(?!\d)))" + AMOUNT
+    r"(?=\d)(?:\G|(?<!\d)|(?=\d{3}(?!\d)))(?:(?<=\G,)|(?!(?<=\d,)\d{3}(?!\d)))" + AMOUNT
 )
 
 # Every character for which Python's ``str.isspace`` holds.
