@@ -465,22 +465,26 @@ def candidate_sink(spark, sf_dir):
 
 # ---- structured -------------------------------------------------------------
 
-def _raw_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered invoices as page extractions: items are the table, the rest text."""
+def _raw_extraction(spark: SparkSession, sf_dir: str, as_text: bool = True) -> DataFrame:
+    """Rendered invoices as page extractions: items are the table, the rest text.
+
+    As text they go through JSON, as a JSON source holds them.
+    """
     marked = _lines(spark, sf_dir).select("doc_id", F.transform(
         "lines", lambda x: F.struct(B.is_item(x).alias("item"), x.alias("line"))).alias("m"))
     rows = F.transform(F.filter("m", lambda x: x["item"]), lambda x: F.split(x["line"], " "))
     blocks = F.transform(F.filter("m", lambda x: ~x["item"]), lambda x: x["line"])
     page = F.struct(
         F.lit(1).alias("page"), F.array(rows).alias("tables"), blocks.alias("text_blocks"))
-    # as a JSON source holds it: text, parsed with the declared schema
-    text = F.to_json(F.struct(F.lit("f").alias("file"), F.array(page).alias("pages")))
-    parsed = marked.select("doc_id", F.from_json(text, RAW_EXTRACTION).alias("raw"))
+    raw = F.struct(F.lit("f").alias("file"), F.array(page).alias("pages"))
+    if as_text:
+        raw = F.from_json(F.to_json(raw), RAW_EXTRACTION)
+    parsed = marked.select("doc_id", raw.alias("raw"))
     return parsed.select("doc_id", structured.raw_lines(F.col("raw.pages")).alias("lines"))
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.structured_build(_raw_extraction(spark, sf_dir), ID)
+    return structured.structured_build(_raw_extraction(spark, sf_dir, as_text=False), ID)
 
 
 def raw_lines(spark, sf_dir):

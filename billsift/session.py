@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     the warehouse folder, which Spark itself needs to be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not root and warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir is not set and {warehouse} may be local to each machine", stacklevel=2)
+    root = root or f"{warehouse.rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
