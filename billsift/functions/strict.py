@@ -1,11 +1,13 @@
 """Strict reading: identifiers by span, lines by section, items by the columns of their header row.
 
 The plain rules take the first match anywhere; these decide by where a match stands.
-Identifiers are ASCII, as printed. All work is linear in the text for lines of ordinary length.
+Identifiers are ASCII, as printed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ IDENTIFIERS = (
     ("account", r"(?<![0-9A-Za-z#./-])\d{9,18}(?![0-9A-Za-z]|[./-]\d)"),
 )
 ANY = "|".join(f"(?:{pattern})" for _, pattern in IDENTIFIERS)
+#: Items of a fold whose output is copied together.
+FOLDED = 128
 SPAN = "struct<start:int,rank:int,stop:int,value:string>"
 
 #: What the first line of a section looks like, in lower case.
@@ -48,34 +52,59 @@ MONEY, NUMBER, CODE = r"^[\d,]*\d\.\d{2}$", r"^\d+(?:\.\d+)?$", r"^\d{4,8}$"
 DECIMAL = "decimal(18,2)"
 
 
+def _fold(items: Column, carry: Column, step: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """What a fold puts out and what it carries at the end, as ``struct<carry, done: array<array<span>>>``.
+
+    ``step`` takes carry, output and an item and gives the next two. Arrays are copied where one
+    is appended to, so the output is gathered in blocks, which keeps long arrays near linear.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    count = F.ceil(F.size(items) / F.lit(FOLDED)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.slice(items, n * FOLDED + 1, F.lit(FOLDED)))
+
+    def inner(state: Column, x: Column) -> Column:
+        new, out = step(state["carry"], state["out"], x)
+        return F.struct(new.alias("carry"), out.alias("out"))
+
+    def outer(state: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(state["carry"].alias("carry"), none.alias("out")), inner)
+        return F.get(F.transform(F.array(own), lambda x: F.struct(
+            x["carry"].alias("carry"), F.array_append(state["done"], x["out"]).alias("done"))), F.lit(0))
+
+    return F.aggregate(blocks, F.struct(carry.alias("carry"), F.array().cast(f"array<array<{SPAN}>>").alias("done")), outer)
+
+
 def _spans(line: Column, pattern: str, rank: int) -> Column:
     """All matches of one pattern in a line with their places, from what lies between them."""
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(found))
     pairs = F.zip_with(found, gaps, lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, out: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         stop = start + F.length(x["value"])
         own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.array_append(acc["spans"], own.cast(SPAN)).alias("spans"))
+        return stop, F.array_append(out, own.cast(SPAN))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(F.size(found) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(
-        F.aggregate(pairs, zero, step, lambda acc: acc["spans"]))
+    # bound by an outer lambda, so that the matches are looked for once
+    spans = F.transform(F.array(pairs), lambda p: F.flatten(_fold(p, F.lit(0), step)["done"]))
+    return F.when(line.rlike(pattern), F.get(spans, F.lit(0))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _resolve(spans: Column) -> Column:
     """One fold over the spans in order: of two that overlap the stronger kind stays, else the earlier."""
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        apart = (F.size(kept) == 0) | (x["start"] >= last["stop"])
-        swapped = F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), x)
-        return F.when(apart, F.array_append(kept, x)).when(x["rank"] < last["rank"], swapped).otherwise(kept)
+    def step(last: Column, out: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["start"] >= last["stop"]
+        return F.when(apart | (x["rank"] < last["rank"]), x).otherwise(last), F.when(
+            apart, F.array_append(out, last)).otherwise(out)
+
+    def whole(ordered: Column) -> Column:
+        rest = F.slice(ordered, F.lit(2), F.size(ordered) - 1)
+        return F.get(F.transform(F.array(_fold(rest, F.get(ordered, F.lit(0)), step)), lambda r: F.array_append(
+            F.flatten(r["done"]), r["carry"])), F.lit(0))
 
-    zero = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(F.array_sort(spans), zero, step))
+    return F.when(F.size(spans) < 2, spans).otherwise(F.get(F.transform(F.array(F.array_sort(spans)), whole), F.lit(0)))
 
 
 def identifiers(lines: Column) -> Column:
