@@ -16,6 +16,8 @@ from .common import col, without
 
 #: Length of a repeated string, of an anchor, most string starts in a piece.
 WIDTH, GRAM, RUN = 100, 64, 64
+#: Bytes of text whose pieces meet in one group, and of the documents of one home.
+PLACE = 1 << 26
 #: An anchor with more different pieces is resolved string by string; pieces of one transform.
 HOT, COLLECTION = 4096, 2000
 #: Bytes worked on at once in a task; longer texts are read in overlapping parts.
@@ -521,7 +523,10 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    homes, places = homes or 4 * parts, parts
+    # groups are tables in a task's memory: they grow in number with the texts, not in size
+    size = df.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
+    places = max(parts, -(-size // PLACE))
+    homes = homes or 4 * places
     out = ["n_bytes", "n_removed", "n_spans", "kept"]
     names = without(df, out).columns
     # the caller's columns travel as one, so that none can clash with ours

@@ -141,3 +141,15 @@ def test_any_column_names(spark):
     assert [tuple(r)[2:-4] for r in rows] == [tuple(range(len(names)))] * 2
     assert rows[0].asDict().keys() == {"doc_id", "body", *names, "n_bytes", "n_removed", "n_spans", "kept"}
     assert rows[1].n_removed == len(shared)
+
+
+def test_groups_grow_in_number_with_the_texts(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = sorted((r.doc_id, bytes(r.kept)) for r in suffixes.dedup(docs).collect())
+    seen = []
+    scan = suffixes.scan
+    monkeypatch.setattr(suffixes, "PLACE", 1 << 10)
+    monkeypatch.setattr(suffixes, "scan", lambda places: seen.append(places) or scan(places))
+    assert sorted((r.doc_id, bytes(r.kept)) for r in suffixes.dedup(docs).collect()) == want
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert seen[0] == -(-size // (1 << 10)) > 8
