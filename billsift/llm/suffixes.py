@@ -535,8 +535,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     keyed = keyed.withColumn("home", F.pmod(F.xxhash64("id", "number"), F.lit(homes)))
     asks = keyed.select("id", "home", "number", "text").mapInArrow(scan(places), OUT)
     told = cut(asks.groupBy("place").applyInArrow(answer, OUT))
-    sent = keyed.select("id", "home", "number", "text").groupBy("home").cogroup(told.groupBy("place")).applyInArrow(
-        send(places), OUT)
+    # the same columns as for carving, so that one shuffle of the texts serves both
+    sent = keyed.groupBy("home").cogroup(told.groupBy("place")).applyInArrow(send(places), OUT)
     late = sent.groupBy("place").applyInArrow(resolve, OUT)
     all_told = told.where(F.col("mode") == DUP).union(late)
     schema = T.StructType([keyed.schema["own"], keyed.schema["text"], *[T.StructField(n, T.LongType()) for n in out[:3]],
