@@ -467,35 +467,44 @@ def carve():
             n_removed.append(len(data) - len(kept[-1]))
         made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
                 pa.array(kept, pa.binary())]
-        return pa.Table.from_arrays([docs.column("own"), docs.column("text"), *made],
-                                    names=["own", "text", "n_bytes", "n_removed", "n_spans", "kept"])
+        given = ["id", "number", "own", "text"]
+        return pa.Table.from_arrays([*[docs.column(c) for c in given], *made],
+                                    names=[*given, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Append ``number``: 0, or the place of a text among the different texts of its id.
 
-    Texts are told apart and ordered by 128 bits of hash. Only ids with several texts are
+    Texts are told apart and ordered by 128 bits of hash. Only ids of several rows are
     numbered, in parts by the beginning of the hash, so an id that many texts share is many groups.
+    Also returns, if there are any, the rows that stand in the table more than once; the first table then
+    holds one of each, without ``own``.
     """
     marked = df.select("id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
-    several = cut(marked.groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select(
-        F.col("id").alias("own_id")))
+    several = cut(marked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("own_id")))
     if several.isEmpty():
-        return df.withColumn("number", F.lit(0).cast("long"))
-    marks = marked.distinct().join(several, F.col("id").eqNullSafe(F.col("own_id")), "left_semi").withColumn(
-        "part", F.substring("mark", 1, 3))
+        return df.withColumn("number", F.lit(0).cast("long")), None
+    marks = marked.join(several, F.col("id").eqNullSafe(F.col("own_id")), "left_semi").groupBy("id", "mark").agg(
+        F.count("*").alias("copies")).withColumn("part", F.substring("mark", 1, 3))
     ahead = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = marks.groupBy("id", "part").agg(F.count("*").alias("n")).select(
         F.col("id").alias("own_id"), F.col("part").alias("own_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("id", "part").orderBy("mark"))
-    numbers = marks.withColumn("place", place).join(
+    numbers = cut(marks.withColumn("place", place).join(
         parts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("part") == F.col("own_part"))).select(
-        "own_id", F.col("mark").alias("own_mark"), (F.col("before") + F.col("place") - 1).cast("long").alias("number"))
+        "own_id", F.col("mark").alias("own_mark"), "copies", (F.col("before") + F.col("place") - 1).cast("long").alias("number")))
     whole = df.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
-    return whole.join(numbers, same, "left").select(*df.columns, F.coalesce("number", F.lit(0)).cast("long").alias("number"))
+    found = whole.join(numbers, same, "left").select(
+        *df.columns, F.coalesce("number", F.lit(0)).cast("long").alias("number"), "copies")
+    once = found.where("coalesce(copies, 1) = 1").drop("copies")
+    if numbers.where("copies > 1").isEmpty():
+        return once, None
+    copies = found.where("copies > 1").drop("copies")
+    one = copies.select("id", "number", "text").dropDuplicates(["id", "number"])
+    return once.unionByName(one, allowMissingColumns=True), copies
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int | None = None) -> DataFrame:
@@ -517,8 +526,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     the strings themselves, exactly. Texts travel to their home once.
 
     Null texts count as empty. Rows without an id come after all others. Rows of one id (or
-    without one) with different texts are told apart and ordered by 128 bits of hash; equal rows are one document and
-    lose the same bytes. Long texts are read in overlapping parts. Columns may bear any names. An
+    without one) with different texts are told apart and ordered by 128 bits of hash; equal rows are one document, which
+    goes through all this once, and lose the same bytes. Long texts are read in overlapping parts. Columns may bear any names. An
     empty table gives an empty one.
     """
     spark = df.sparkSession
@@ -531,7 +540,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     names = without(df, out).columns
     # the caller's columns travel as one, so that none can clash with ours
     own = F.struct(F.lit(0).alias("_"), *[col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text])
-    keyed = numbered(df.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"), own.alias("own")))
+    keyed, copies = numbered(df.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"), own.alias("own")))
     keyed = keyed.withColumn("home", F.pmod(F.xxhash64("id", "number"), F.lit(homes)))
     asks = keyed.select("id", "home", "number", "text").mapInArrow(scan(places), OUT)
     told = cut(asks.groupBy("place").applyInArrow(answer, OUT))
@@ -539,8 +548,13 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", homes: int
     sent = keyed.groupBy("home").cogroup(told.groupBy("place")).applyInArrow(send(places), OUT)
     late = sent.groupBy("place").applyInArrow(resolve, OUT)
     all_told = told.where(F.col("mode") == DUP).union(late)
-    schema = T.StructType([keyed.schema["own"], keyed.schema["text"], *[T.StructField(n, T.LongType()) for n in out[:3]],
+    schema = T.StructType([*[keyed.schema[c] for c in ("id", "number", "own", "text")], *[T.StructField(n, T.LongType()) for n in out[:3]],
                            T.StructField("kept", T.BinaryType())])
     cleared = keyed.groupBy("home").cogroup(all_told.groupBy("place")).applyInArrow(carve(), schema)
+    if copies is not None:
+        cleared = cut(cleared)
+        of = cleared.where("own is null").select(F.col("id").alias("own_id"), F.col("number").alias("own_number"), *out)
+        same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("number") == F.col("own_number"))
+        cleared = cleared.where("own is not null").unionByName(copies.join(of, same).drop("own_id", "own_number"))
     return cleared.select(*[(F.col("text") if c == text else F.col("own").getField(f"c{i}")).alias(c)
                             for i, c in enumerate(names)], *out)

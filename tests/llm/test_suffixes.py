@@ -153,3 +153,29 @@ def test_groups_grow_in_number_with_the_texts(spark, small, monkeypatch):
     assert sorted((r.doc_id, bytes(r.kept)) for r in suffixes.dedup(docs).collect()) == want
     size = sum(len((r.text or "").encode()) for r in docs.collect())
     assert seen[0] == -(-size // (1 << 10)) > 8
+
+
+def test_equal_rows_go_to_a_home_once(spark, monkeypatch):
+    rng = random.Random(23)
+    shared = "".join(rng.choices("abcdefgh ", k=140))
+    rows = [(5, shared + "hot")] * 3000 + [(None, shared + "none")] * 500 + [(2, "ab" + shared), (5, shared), (9, None), (9, "")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    counted = spark.sparkContext.accumulator(0)
+    carve = suffixes.carve
+
+    def counting():
+        run = carve()
+
+        def counted_run(key, docs, told):
+            counted.add(docs.num_rows)
+            return run(key, docs, told)
+
+        return counted_run
+
+    monkeypatch.setattr(suffixes, "carve", counting)
+    out = suffixes.dedup(df)
+    assert out.columns == ["doc_id", "text", "n", "n_bytes", "n_removed", "n_spans", "kept"]
+    got = sorted((r.n, r.doc_id, r.text, bytes(r.kept)) for r in out.collect())
+    want = one_by_one(rows)
+    assert got == [(n, i, t, want[i, t or ""]) for n, (i, t) in enumerate(rows)]
+    assert counted.value == len({(i, t or "") for i, t in rows})
