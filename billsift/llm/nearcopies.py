@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..session import cut
 from .common import add_columns, col, without
 from .components import star_roots
+from .simhash import fingerprints, within
 
 #: Words of a shingle; least share of common shingles, in percent.
 WORDS, LEAST = 5, 80
@@ -61,6 +62,19 @@ def named(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_node", F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(SEED), own).alias("b")))
 
 
+def simhash_pairs(df: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b), a > b: each text of a SimHash class (see ``simhash.within``) and the least node of the class.
+
+    Nodes are those of :func:`named`, so equal texts are one: the pairs are linear in the different texts.
+    """
+    own = named(fingerprints(df.select(col(text).alias("_text")), "_text"), "_text")
+    own = cut(own.select(F.col("_node").alias("node"), "fp").distinct())
+    tops = star_roots(within(own.select("fp").distinct())).withColumnRenamed("node", "fp")
+    own = own.join(tops, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = own.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return cut(own.join(least, "root").where("node > b").select(F.col("node").alias("a"), "b"))
+
+
 def rare_pairs(members: DataFrame) -> DataFrame:
     """(a, b) of all texts of different roots that may be alike, from (node, root, s).
 
@@ -124,7 +138,9 @@ def roots(df: DataFrame, text: str = "text") -> DataFrame:
     where the Jaccard likeness of their sets of five-word shingles (ASCII
     case and blanks apart) is 0.8 or more, and a class is all that links reach.
 
-    Texts meet in the cells of ``BANDS`` keys of ``ROWS`` minima each, which miss
+    SimHash classes come first: each of their texts is held against one of its class (``simhash_pairs``).
+    Pairs that differ by more bits than tables of distances can search
+    meet in the cells of ``BANDS`` keys of ``ROWS`` minima each, which miss
     a pair at 0.8 with chance 1 in 14,000 and closer ones more rarely; no pair is linked
     without its exact likeness. A cell of up to ``CELL`` texts is compared whole. Of
     a larger one all are first held against ``LEADERS`` of them, which links a
@@ -142,7 +158,8 @@ def roots(df: DataFrame, text: str = "text") -> DataFrame:
     sizes = posted.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     cells = cut(posted.join(sizes, ["band", "key"]))
 
-    wanted = cells.select(F.col("node").alias("_node")).distinct()
+    near = simhash_pairs(df, text)
+    wanted = cells.select("node").union(near.select("a")).union(near.select("b")).toDF("_node").distinct()
     # copies are cut to one in each task before they are dealt by node
     texts = own.groupBy("_node").agg(F.min("_text").alias("_text")).join(wanted, "_node")
     sets = without(add_columns(texts, "_text", [T.StructField("s", T.ArrayType(T.LongType()))],
@@ -158,7 +175,8 @@ def roots(df: DataFrame, text: str = "text") -> DataFrame:
         F.pmod("node.b", F.lit(LEADERS)) == i, F.col("node"))).alias(f"l{i}") for i in range(LEADERS)])
     stars = many.join(lead, ["band", "key"]).select(
         F.col("node").alias("a"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("b"))
-    pairs = pairs.union(stars.where("a != b").select(F.greatest("a", "b"), F.least("a", "b"))).distinct()
+    pairs = pairs.union(stars.where("a != b").select(F.greatest("a", "b"), F.least("a", "b")))
+    pairs = pairs.union(near).distinct()
     links = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a") \
         .join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
     links = cut(links.where(alike(F.col("x"), F.col("y"))).select("a", "b"))

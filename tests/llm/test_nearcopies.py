@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from billsift.llm import nearcopies
+from billsift.llm import nearcopies, simhash
 import corpus_pipeline as pipeline
 
 
@@ -147,3 +147,28 @@ def test_large_groups_are_joined_by_turns_of_leaders(spark, monkeypatch):
     tops = plain_tops(texts)
     assert survivors(spark, texts) == [i for i, t in enumerate(tops) if t == i]
     assert sum(compared) <= 20 * len(texts)
+
+
+def test_simhash_classes_are_held_against_each_other(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.getrandbits(24)}" for _ in range(4000)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(0, 40, 4)]
+    texts += [" ".join(f"w{rng.getrandbits(24)}" for _ in range(50)) for _ in range(20)] + ["", " ", texts[0]]
+    prints = [simhash.fingerprint(t) for t in texts]
+    tops = list(range(len(texts)))
+    for _ in texts:
+        tops = [min(tops[j] for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 2 or i == j)
+                for i in range(len(texts))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    nodes = {r.text: r._node for r in nearcopies.named(df, "text").collect()}
+    pairs = nearcopies.simhash_pairs(df).collect()
+    classes = {}
+    for text, top in zip(texts, tops):
+        classes.setdefault(top, set()).add(nodes[text])
+    assert {(r.a, r.b) for r in pairs} == {(n, min(c)) for c in classes.values() for n in c if n != min(c)}
+    assert len(pairs) >= 5 and nearcopies.simhash_pairs(df.limit(0)).isEmpty()
+
+    asked, found = [], nearcopies.simhash_pairs
+    monkeypatch.setattr(nearcopies, "simhash_pairs", lambda *a: asked.append(1) or found(*a))
+    tops = plain_tops(texts)
+    assert survivors(spark, texts) == [i for i, t in enumerate(tops) if t == i] and asked
