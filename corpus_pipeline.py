@@ -2,9 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. Columns beside those of
-documents pass through all stages, whatever their names. The stage ``simhash`` bears the
-name of its place: it finds near copies by five-word shingles (see ``nearcopies``), as pairs at 0.8
-differ by more bits of a fingerprint than tables of distances can search.
+documents pass through all stages, whatever their names. The stage ``simhash`` links the classes of the SimHash
+operator after an exact check, and near copies that differ by more bits of a fingerprint
+than its tables of distances can search by five-word shingles (see ``nearcopies``).
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from billsift.session import materialize
 LEAST_QUALITY, REPEATS = 0.3, 1.25
 
 
-def sealed(docs: DataFrame, *shown: str) -> DataFrame:
-    """The columns that a stage reads, and all columns as one, which none of the stage's own can clash with."""
-    whole = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+def sealed(docs: DataFrame, *shown: str, once: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that a stage reads, and all columns as one, which none of the stage's own can clash with.
+
+    Those of ``once`` are shown only, so that tasks do not hold them twice.
+    """
+    whole = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in once])
     return docs.select(*shown, whole.alias("whole"))
 
 
@@ -40,14 +43,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     net = quality.fit(own, table(spark, sf_dir, "labels"), ~in_bucket(F.col("doc_id"), 5, 0))
-    scored = quality.score(sealed(docs, "text"), net)
-    return opened(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns)
+    scored = quality.score(sealed(docs, "text", once=("text",)), net)
+    return opened(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns, text=F.col("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near copies, that of the smallest id.
 
-    Near copies share 0.8 or more of their five-word shingles; see ``nearcopies.roots``.
+    Near copies share 0.8 or more of their five-word shingles: SimHash classes and the rest,
+    see ``nearcopies.roots``.
     Ids only choose within a class: rows that share an id but not a class each
     stay for their own, and rows without an id are in classes like any other, chosen
     where no row has one. Ties go to the smallest hash of the text, then of the row.
