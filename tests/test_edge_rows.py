@@ -248,3 +248,9 @@ def test_split_and_union(spark):
     assert merged.columns == record_columns("a") + ["error_reason"]
     error = merged.where("status = 'ERROR'").first()
     assert error.filename == "1.txt" and error.invoice_no is None
+
+
+def test_label_value_searches_once(spark):
+    frame = spark.createDataFrame([("Due Date:\nx",)], "t string").select(B.label_value(F.col("t"), "Due Date").alias("v"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2 and plan.count("locate(") == 1  # plain and other texts
