@@ -44,7 +44,10 @@ def to_store(records: DataFrame, file_hash: Column, run_ts: datetime | Column,
     is unique within the rows stored together, without any order or gap-free count.
     """
     if "error_reason" in records.columns:
-        records = records.where(F.col("error_reason").isNull()).drop("error_reason")
+        # as a generated column the reason is tested after the record is made: a plain filter is
+        # moved below it, and all reading that the reason rests on would run several times a row
+        reason = F.explode_outer(F.array("error_reason")).alias("_reason")
+        records = records.select("*", reason).where(F.col("_reason").isNull()).drop("error_reason", "_reason")
     business = [F.col(c).alias(name) for c, name in STORE_COLUMNS.items()]
     payload = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
     extra = [encrypt(payload, key).alias("json_data_enc")] if key is not None else []
