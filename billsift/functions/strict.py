@@ -38,6 +38,7 @@ SECTIONS = (
     ("totals", r"^(?:sub ?total|taxable|cgst|sgst|igst|total|grand total|discount|round)\b"),
     ("bank", r"^(?:bank|account|a/c|ifsc|branch)\b"),
 )
+ANY_SECTION = "|".join(f"(?:{pattern})" for _, pattern in SECTIONS)
 #: Words of an item header and the column that each names.
 COLUMNS = {
     "sr": ("sr", "s.no", "sno", "no", "#"),
@@ -144,7 +145,8 @@ def sections(lines: Column) -> Column:
     section may follow any. Each section then is one slice of the lines.
     """
     marked = F.transform(lines, lambda x, i: F.struct(
-        F.coalesce(*[F.when(F.lower(x).rlike(p), F.lit(name)) for name, p in SECTIONS]).alias("section"),
+        F.when(F.lower(x).rlike(ANY_SECTION), F.coalesce(
+            *[F.when(F.lower(x).rlike(p), F.lit(name)) for name, p in SECTIONS])).alias("section"),
         i.alias("first")))
     marks = F.filter(marked, lambda x: x["section"].isNotNull())
     kind = "struct<section:string,first:int>"
