@@ -68,3 +68,19 @@ def test_numbers_are_read_from_the_first_place_that_can_match(spark):
     assert [(rows[n].invoice_meta.invoice_no, rows[n].invoice_meta.po_no) for n in lines] == [
         ("PO", "77"), ("é", "5"), ("", ""), ("", "")]
     assert rows[4].totals.amount_in_words == "RUPEES ONLY"
+
+
+def test_used_lines_are_taken_out_by_generated_code(spark):
+    lines = {1: ["Acme LTD", "x", "Acme LTD", "Buyer b", "x", "", "CGST 1"], 2: ["x", "bank y", None, "x"], 3: [], 4: None}
+    df = spark.createDataFrame(list(lines.items()), "doc_id long, lines array<string>")
+    left = structured.structured_build(df, ("doc_id",)).select("doc_id", "declarations")
+    assert "array_contains(" not in _plan(left) and "split(" not in _plan(left)
+    assert {r[0]: r[1] for r in left.collect()} == {1: ["x", "x"], 2: ["x", "x"], 3: [], 4: None}
+
+
+def test_the_line_breaks_ahead_of_a_word_are_counted_by_bytes(spark):
+    df = spark.createDataFrame([("é\n₹\nb b\n",), ("b\n",), ("\n\n.b",), ("a",), ("",), (None,)], "t string")
+    at = df.select(first_index(F.col("t"), ("b",)).alias("n"), first_index(F.col("t"), (".b", "₹")).alias("m"))
+    assert "split(" not in _plan(at)
+    past = (1 << 31) - 2
+    assert [tuple(r) for r in at.collect()] == [(2, 1), (0, past), (2, 2), (past, past), (past, past), (past, past)]
