@@ -84,3 +84,8 @@ def test_the_line_breaks_ahead_of_a_word_are_counted_by_bytes(spark):
     assert "split(" not in _plan(at)
     past = (1 << 31) - 2
     assert [tuple(r) for r in at.collect()] == [(2, 1), (0, past), (2, 2), (past, past), (past, past), (past, past)]
+
+
+def test_the_tail_of_an_item_line_is_sought_at_its_end_only(spark):
+    df = spark.createDataFrame([("1 a 10.00",)], "x string")
+    assert "RLIKE(x#" not in _plan(df.select(B.is_item(F.col("x")).alias("i"))).split(r"\d{2}\.\d{2}$")[0]
