@@ -6,7 +6,10 @@ Identifiers are ASCII, as printed.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,21 +18,29 @@ from billsift import constants as K
 from billsift.functions.fields import last_amount
 from billsift.functions.text import or_blank
 
-#: Kinds of identifiers, the stronger first: where two overlap the stronger stays.
+#: Signs of an e-mail's name: listed one by one, as Java looks such a set up in a table.
+_NAME = "[" + string.ascii_letters + string.digits + "._%+-]"
+#: Kinds of identifiers, the stronger first: where two overlap the stronger stays. A look at the first
+#: sign, or one back from behind it, spares the rest of a pattern for most places.
 IDENTIFIERS = (
-    ("email", K.EMAIL_ONCE),
+    ("email", rf"(?:\G|(?<!{_NAME})){_NAME}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"),
     ("gstin", K.GSTIN),
-    ("ifsc", r"(?<![A-Z0-9])" + K.IFSC + r"(?![A-Z0-9])"),
-    ("phone", r"(?:(?i:\b(?:phone|mobile|tel)\b)[ .:]{0,3}+\+?+\d|(?<![\d+])\+\d)[\d ()-]{5,13}\d"),
-    ("order", r"(?i:\b(?:po|purchase order|order)\b)(?i: ?+(?:no|number)\b)?+[ .:#-]{0,3}+\d++"),
+    ("ifsc", r"(?=[A-Z])(?<![A-Z0-9])" + K.IFSC + r"(?![A-Z0-9])"),
+    ("phone", r"(?=[MPTmpt+])(?:(?i:\b(?:phone|mobile|tel)\b)[ .:]{0,3}+\+?+\d|(?<![\d+])\+\d)[\d ()-]{5,13}\d"),
+    ("order", r"(?=[OPop])(?i:\b(?:po|purchase order|order)\b)(?i: ?+(?:no|number)\b)?+[ .:#-]{0,3}+\d++"),
     ("date", K.DATE),
     ("pan", K.PAN),
-    ("account", r"(?<![0-9A-Za-z#./-])\d{9,18}(?![0-9A-Za-z]|[./-]\d)"),
+    ("account", r"\d(?<![0-9A-Za-z#./-]\d)\d{8,17}(?![0-9A-Za-z]|[./-]\d)"),
 )
-ANY = "|".join(f"(?:{pattern})" for _, pattern in IDENTIFIERS)
+#: A line with an identifier holds one of these at least: a part of each pattern above, and quick to seek one by one.
+SIGNS = (r"\d(?:\d{3}(?:[A-Z]|\d{5})|[/-]\d\d[/-])", "@", "[A-Z]{4}0", r"\+\d",
+         "(?=[MOPTmopt])(?i:phone|mobile|tel|po|order)")
+#: Put around a match, and what stands in its place in a line.
+MARK, OTHER = "\x01", "\x02"
 #: Items of a fold whose output is copied together.
 FOLDED = 128
-SPAN = "struct<start:int,rank:int,stop:int,value:string>"
+SPAN = "struct<line:int,start:int,rank:int,stop:int,value:string>"
+FOUND = "array<struct<line_no:int,start:int,stop:int,kind:string,value:string>>"
 
 #: What the first line of a section looks like, in lower case.
 SECTIONS = (
@@ -75,37 +86,60 @@ def _fold(items: Column, carry: Column, step: Callable[[Column, Column, Column],
     return F.aggregate(blocks, F.struct(carry.alias("carry"), F.array().cast(f"array<array<{SPAN}>>").alias("done")), outer)
 
 
-def _spans(line: Column, pattern: str, rank: int) -> Column:
-    """All matches of one pattern in a line with their places, from what lies between them."""
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(line, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, gaps, lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value bound by an outer lambda, so that it is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def step(at: Column, out: Column, x: Column) -> tuple[Column, Column]:
-        start = at + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["value"].alias("value"))
-        return stop, F.array_append(out, own.cast(SPAN))
 
-    # bound by an outer lambda, so that the matches are looked for once
-    spans = F.transform(F.array(pairs), lambda p: F.flatten(_fold(p, F.lit(0), step)["done"]))
-    return F.when(line.rlike(pattern), F.get(spans, F.lit(0))).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _spans(text: Column) -> Column:
+    """All matches of each pattern in a text of lines, with their lines and places, from what lies between them.
+
+    Matches stay within a line, and line breaks bound them as the ends of a line do. One pass a pattern
+    puts marks around them, so each second part between marks is a match.
+    """
+
+    def hits(pattern: str, rank: int) -> Column:
+        marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+        def hit(value: Column, gap: Column) -> Column:
+            tail = F.substring_index(gap, "\n", -1)
+            return F.struct(F.lit(rank).alias("rank"), value.alias("value"), F.length(tail).alias("tail"),
+                            (F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit("")))).alias("breaks"))
+
+        return _once(marked, lambda parts: F.array_compact(F.transform(
+            parts, lambda x, i: F.when(i % 2 == 1, hit(x, F.get(parts, i - 1))))))
+
+    def step(last: Column, out: Column, x: Column) -> tuple[Column, Column]:
+        same = x["rank"] == last["rank"]
+        start = x["tail"] + F.when(same & (x["breaks"] == 0), last["stop"]).otherwise(0)
+        own = F.struct((x["breaks"] + F.when(same, last["line"]).otherwise(0)).alias("line"), start.alias("start"),
+                       x["rank"].alias("rank"), (start + F.length(x["value"])).alias("stop"), x["value"].alias("value"))
+        return own.cast(SPAN), F.array_append(out, last)
+
+    before = F.struct(F.lit(0).alias("line"), F.lit(0).alias("start"), F.lit(-1).alias("rank"), F.lit(0).alias("stop"),
+                      F.lit("").alias("value")).cast(SPAN)
+
+    def whole(all_: Column) -> Column:
+        return _once(_fold(all_, before, step), lambda r: F.array_append(F.flatten(r["done"]), r["carry"]))
+
+    every = F.flatten(F.array(*[hits(pattern, rank) for rank, (_, pattern) in enumerate(IDENTIFIERS)]))
+    return _once(every, lambda all_: F.when(F.size(all_) > 0, F.filter(whole(all_), lambda x: x["rank"] >= 0)).otherwise(
+        F.array().cast(f"array<{SPAN}>")))
 
 
 def _resolve(spans: Column) -> Column:
     """One fold over the spans in order: of two that overlap the stronger kind stays, else the earlier."""
 
     def step(last: Column, out: Column, x: Column) -> tuple[Column, Column]:
-        apart = x["start"] >= last["stop"]
+        apart = (x["line"] > last["line"]) | (x["start"] >= last["stop"])
         return F.when(apart | (x["rank"] < last["rank"]), x).otherwise(last), F.when(
             apart, F.array_append(out, last)).otherwise(out)
 
     def whole(ordered: Column) -> Column:
         rest = F.slice(ordered, F.lit(2), F.size(ordered) - 1)
-        return F.get(F.transform(F.array(_fold(rest, F.get(ordered, F.lit(0)), step)), lambda r: F.array_append(
-            F.flatten(r["done"]), r["carry"])), F.lit(0))
+        return _once(_fold(rest, F.get(ordered, F.lit(0)), step), lambda r: F.array_append(F.flatten(r["done"]), r["carry"]))
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.get(F.transform(F.array(F.array_sort(spans)), whole), F.lit(0)))
+    return F.when(F.size(spans) < 2, spans).otherwise(_once(F.array_sort(spans), whole))
 
 
 def identifiers(lines: Column) -> Column:
@@ -113,18 +147,21 @@ def identifiers(lines: Column) -> Column:
 
     Places count signs from 0 within the line. A tax number inside a longer one, the
     digits of a telephone or order number and those of a date are not taken as anything else.
+    Lines that may hold any are read as one text: a pass a pattern, and one fold for all.
     """
     kinds = F.array(*[F.lit(kind) for kind, _ in IDENTIFIERS])
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))),
-                        lambda x: x["line"].rlike("[0-9@]") & x["line"].rlike(ANY))
-
-    def read(x: Column) -> Column:
-        spans = F.concat(*[_spans(x["line"], pattern, rank) for rank, (_, pattern) in enumerate(IDENTIFIERS)])
-        return F.transform(_resolve(spans), lambda s: F.struct(
-            x["n"].alias("line_no"), s["start"].alias("start"), s["stop"].alias("stop"),
-            F.get(kinds, s["rank"]).alias("kind"), s["value"].alias("value")))
-
-    return F.flatten(F.transform(numbered, read))
+    signed = F.transform(lines, lambda x, i: F.when(
+        reduce(or_, [x.rlike(sign) for sign in SIGNS]), F.struct((i + 1).alias("n"), x.alias("line"))))
+
+    def read(numbered: Column) -> Column:
+        # no pattern takes one of these signs, nor tells it from the one put in its place
+        text = F.array_join(F.transform(numbered, lambda x: F.translate(x["line"], f"\n{MARK}", f"\r{OTHER}")), "\n")
+        spans = _once(_once(text, _spans), _resolve)
+        return F.when(F.size(numbered) > 0, F.transform(spans, lambda s: F.struct(
+            F.get(numbered, s["line"])["n"].alias("line_no"), s["start"].alias("start"), s["stop"].alias("stop"),
+            F.get(kinds, s["rank"]).alias("kind"), s["value"].alias("value")))).when(numbered.isNotNull(), F.array().cast(FOUND))
+
+    return _once(F.array_compact(signed), read)
 
 
 def of_kind(found: Column, kind: str) -> Column:

@@ -59,6 +59,24 @@ def test_many_matches_in_one_line(spark):
     assert [v for _, _, v in ids(spark, text)] == text.split(" ")
 
 
+def test_each_pattern_is_sought_once_and_in_all_lines_at_a_time(spark):
+    df = spark.createDataFrame([(["PO 1"],)], "l array<string>").select(S.identifiers(F.col("l")).alias("f"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(pattern) for _, pattern in S.IDENTIFIERS] == [1] * len(S.IDENTIFIERS)
+
+
+def test_identifiers_of_any_lines(spark):
+    rows = [(["PO 12", None, "x 12 345", "27ABCDE1234F1Z5 a@b.co1x@y.com"],), (["7\x01 123456789\n01/02/2024", "order 1@b.example"],),
+            (["none", "Report po"],), ([],), ([None],), (None,)]
+    df = spark.createDataFrame(rows, "l array<string>")
+    found = [r[0] and [tuple(x) for x in r[0]] for r in df.select(S.identifiers(F.col("l"))).collect()]
+    assert found == [
+        [(1, 0, 5, "order", "PO 12"), (4, 0, 15, "gstin", "27ABCDE1234F1Z5"), (4, 16, 22, "email", "a@b.co"),
+         (4, 22, 30, "email", "1x@y.com")],
+        [(1, 3, 12, "account", "123456789"), (1, 13, 23, "date", "01/02/2024"), (2, 6, 17, "email", "1@b.example")],
+        [], [], [], None]
+
+
 def test_sections(spark):
     text = "ACME PVT LTD\nTAX INVOICE\nTotal pages 2\nBill To\nBob\nSr Description Qty Amount\n1 Total station 1.00\n" \
            "Sub Total 1.00\nCGST 9% 0.09\nBank: X\nAccount 1\nSr Particulars Amount\n2 y 3.00\nTotal 3.00"
