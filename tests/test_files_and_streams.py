@@ -12,6 +12,7 @@ from billsift import functions as B
 from billsift.operators.documents import prepare
 from billsift.operators.records import extract_record
 from billsift.operators.store import to_store
+from billsift.plans import invoices, queries
 from billsift.schemas import RECORD_COLUMNS, STORE_EXPORT
 from billsift.session import materialize
 from billsift.sources import files, sinks
@@ -196,3 +197,52 @@ def test_materialize_keeps_rows_and_schema(spark):
     frame = spark.range(10).withColumn("x", F.col("id").cast("decimal(18,2)"))
     back = materialize(frame, "test")
     assert back.dtypes == frame.dtypes and back.count() == 10
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    day = datetime(2020, 1, 2)
+    rows = {
+        "orders": ([(k, k % 3 or None, day) for k in range(1, 90)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "lineitem": ([(k, n, k + n, k % 2 + 1, 2.0, 10.5 * n) for k in range(1, 80) for n in (1, 2)],
+                     "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double"),
+        "customer": ([(1, "C1", 5, "S"), (2, "C2", 6, "S"), (2, "C2 again", 7, "S")],
+                     "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"),
+        "supplier": ([(1, "V1", 3)], "s_suppkey long, s_name string, s_nationkey long"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "t" / f"{name}.parquet"))
+    return str(tmp_path / "t")
+
+
+def test_ingested_texts_leave_the_disk_batch_by_batch(spark, tmp_path, tables, monkeypatch):
+    monkeypatch.setattr(queries, "shared_dir", lambda _, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(queries, "BATCH_BYTES", 1)  # a file a batch
+    monkeypatch.setattr(queries, "invoice_text", lambda *a: invoices.invoice_text(*a).repartition(3))
+    made = queries.stream_ingest(spark, tables)
+    want = queries.extract_record_a(spark, tables).select(*made.columns)
+    assert made.count() == want.count() > 100 and made.exceptAll(want).isEmpty()
+    assert len([n for n in (tmp_path / "progress" / "commits").iterdir() if n.name.isdigit()]) > 2
+    assert not (tmp_path / "landing").exists()
+    assert all(n.name.endswith(".zstd.parquet") for n in (tmp_path / "records").glob("part-*"))
+
+
+def test_a_landed_table_leaves_no_shuffle_files(spark, tmp_path, tables, monkeypatch):
+    monkeypatch.setattr(queries, "shared_dir", lambda _, purpose: str(tmp_path / purpose))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(queries, "invoice_text", lambda *a: seen.append(spark.conf.get(key)) or invoices.invoice_text(*a))
+    landed = spark.read.parquet(queries._landed_invoices(spark, tables))
+    assert seen == ["true"] and spark.conf.get(key) == before
+    assert landed.exceptAll(invoices.invoice_text(spark, tables)).isEmpty() and landed.count() > 100
+
+
+def test_items_are_not_moved_by_customer(spark, tables):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = invoices.invoice_text(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = plan.split("Exchange hashpartitioning(o_custkey")[1].split("Exchange hashpartitioning(c_custkey")[0]
+    assert "collect_list" in plan and "collect_list" not in moved
